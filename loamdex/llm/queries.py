@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamdex.runtime import read
 
-from . import contamination, near_duplicates, repeated_lines, tokenize
+from . import contamination, garbled, near_duplicates, repeated_lines, splitting, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,20 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return members.join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized_items(read(spark, d, "scraped_documents"), read(spark, d, "document_chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items over 256 words or 2,048 characters, as split."""
+    return _pieces(spark, d).where("piece_no = 0").select("rec_kind", "rec_id")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all oversized items."""
+    return _pieces(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k."""
     return tokenize.token_ids(read(spark, d, "documents"))
@@ -51,8 +65,18 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(read(spark, d, "documents"), read(spark, d, "test_items"), edits=1)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold wrongly decoded characters."""
+    return garbled.garbled_texts(read(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents with their text restored where possible."""
+    return garbled.garbled_texts(read(spark, d, "documents")).select("doc_id", F.col("restored").alias("text"), "whole")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cleaned, p4_found, p4_links, p6_ids, p7_found, p7_near)
+    f.__name__: f for f in (p1_found, p1_cleaned, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
 }
 
 #: SQL for the queries that SQL can state over whole tables.
