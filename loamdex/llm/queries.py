@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamdex.runtime import read
 
-from . import contamination, garbled, near_duplicates, repeated_lines, splitting, tokenize
+from . import contamination, garbled, near_duplicates, neighbours, repeated_lines, splitting, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,16 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(chunks, repeated_lines.repeated_lines(chunks)).select("id", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which one is among the other's ten nearest."""
+    return neighbours.neighbour_pairs(neighbours.nearest(read(spark, d, "vector_documents")))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest rows of each vector, with similarity and rank."""
+    return neighbours.nearest(read(spark, d, "vector_documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose sets of three consecutive words are similar to 0.6 or more."""
     members, links = near_duplicates.duplicate_groups(read(spark, d, "chunks"), threshold=0.6, width=3)
@@ -76,7 +86,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cleaned, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_nearest, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
 }
 
 #: SQL for the queries that SQL can state over whole tables.
