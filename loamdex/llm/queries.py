@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamdex.runtime import read
 
-from . import contamination, garbled, near_duplicates, neighbours, repeated_lines, splitting, tokenize
+from . import boilerplate, contamination, garbled, near_duplicates, neighbours, repeated_lines, splitting, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,20 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(read(spark, d, "vector_documents"))
 
 
+def _article(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_blocks(read(spark, d, "crawled_pages"), read(spark, d, "scraped_documents"), read(spark, d, "source_configs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of the article's blocks of pages and scraped texts."""
+    return boilerplate.block_shas(_article(spark, d))
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The article's blocks of pages and scraped texts, with their order."""
+    return _article(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose sets of three consecutive words are similar to 0.6 or more."""
     members, links = near_duplicates.duplicate_groups(read(spark, d, "chunks"), threshold=0.6, width=3)
@@ -86,7 +100,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_nearest, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_nearest, p3_found, p3_blocks, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
 }
 
 #: SQL for the queries that SQL can state over whole tables.
