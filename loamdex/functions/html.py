@@ -50,15 +50,16 @@ class Page:
         tags, raw, parent, pieces = self.tags, self.raw, self.parent, self.pieces
         here, block, last, hidden = 0, 0, 0, ""
         for m in _TOKEN.finditer(html):
+            slash, name, rest = m.groups()
+            start, end = m.span()
             if hidden:
-                if not (m.group(1) and m.group(2).lower() == hidden):
+                if not (slash and name.lower() == hidden):
                     continue
                 hidden = ""
-                last = m.start()
-            if m.start() > last:
-                pieces.append((here, block, html[last : m.start()]))
-            last = m.end()
-            name = m.group(2)
+                last = start
+            if start > last:
+                pieces.append((here, block, html[last:start]))
+            last = end
             if name is None:
                 continue
             tag = name.lower()
@@ -67,7 +68,7 @@ class Page:
                 continue
             if tag not in INLINE:
                 block += 1
-            if m.group(1):
+            if slash:
                 at = here
                 while at > 0 and tags[at] != tag:
                     at = parent[at]
@@ -79,11 +80,11 @@ class Page:
             elif tag in _ENDS_P and tags[here] == "p":
                 here = parent[here]
             tags.append(tag)
-            raw.append(m.group(3))
+            raw.append(rest)
             parent.append(here)
             if tag in HIDDEN:
                 hidden = tag
-            elif tag not in VOID and not m.group(3).endswith("/"):
+            elif tag not in VOID and not rest.endswith("/"):
                 here = len(tags) - 1
         if not hidden and last < len(html):
             rest = html[last:]
@@ -109,22 +110,39 @@ class Page:
             element = self.parent[element]
         return out
 
-    def blocks(self) -> list[tuple[int, str]]:
-        """(element, raw text with entities decoded) of every block that shows something."""
-        out: list[tuple[int, str]] = []
-        at, parts, element = -1, [], 0
+    def blocks(self) -> list[tuple[int, int, str]]:
+        """(element, block number, raw text with entities decoded) of every block that shows something."""
+        out: list[tuple[int, int, str]] = []
+        at, parts, element = -1, "", 0
         for el, block, text in self.pieces:
             if block != at:
-                if parts and (joined := "".join(parts)).strip():
-                    out.append((element, unescape(joined)))
-                at, parts = block, []
-            if not parts or not "".join(parts).strip():
+                if parts and not parts.isspace():
+                    out.append((element, at, unescape(parts) if "&" in parts else parts))
+                at, parts, element = block, "", el
+            elif parts.isspace():
                 element = el
-            parts.append(text)
-        if parts and (joined := "".join(parts)).strip():
-            out.append((element, unescape(joined)))
+            parts += text
+        if parts and not parts.isspace():
+            out.append((element, at, unescape(parts) if "&" in parts else parts))
         return out
 
+_HIDDEN_PART = r"<(script|style|template|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+_BLOCK_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|" + _HIDDEN_PART + r"|</?(?!(?:a|b|i|em|strong|code|span|kbd|br)[\s/>])[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>",
+    re.S | re.I,
+)
+_INLINE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<[!?][^>]*>")
+
+
+def block_texts(html: str) -> list[str]:
+    """The texts of :meth:`Page.blocks` without their elements, by two substitutions."""
+    marked = _BLOCK_TAG.sub(lambda m: "" if m.group().startswith("<!--") else "\0", html)
+    cut = marked.rfind("<")
+    if cut >= 0 and ">" not in marked[cut:] and _CUT.match(marked, cut):
+        marked = marked[:cut]
+    plain = _INLINE_TAG.sub(lambda m: "\n" if (m.group(2) or "").lower() == "br" else "", marked)
+    return [unescape(t) if "&" in t else t for t in plain.split("\0") if t and not t.isspace()]
+
 
 @lru_cache(maxsize=4096)
 def attributes(raw: str) -> dict[str, str]:
