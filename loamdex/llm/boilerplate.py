@@ -25,7 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamdex.functions.html import Page, fold, select
+from loamdex.functions.html import INLINE, Page, block_texts, fold, select
 from loamdex.runtime import counted, frequent_keys, join_bounded, materialize
 
 from .crf import Chain, Sequences
@@ -46,6 +46,8 @@ SIZE = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[(){}\[\]=;$#<>_]")
 _STOP = re.compile(r"[.!?。！？…][\"'”’»)]*$")
+_DIGITS = re.compile(r"\d+")
+_USER = re.compile(r"[\w.-]{3,20}: ")
 _RANDOM = re.compile(r"^(?=.*\d)[0-9a-z]{4,8}$")
 
 
@@ -74,90 +76,103 @@ def line_key(source: str, text: str) -> int | None:
     return xxhash.xxh3_64_intdigest(source + "\0" + " ".join(runs).lower()) if runs else None
 
 
-def page_blocks(html: str) -> tuple[list[Block], str, Page]:
-    """(blocks, title, page): white space is folded; the title is the text of the h1."""
+class Places:
+    """Features of an element's place: its tags upward, the words of their classes, ids and roles, and its way to the h1's parent.
+
+    Elements with the same chain of start tags share a number, and a number's
+    features are made once.
+    """
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str, str], int] = {}
+        self.made: dict[tuple, tuple[str, ...]] = {}
+
+    def of(self, page: Page, levels: dict[int, int]) -> "PagePlaces":
+        if len(self.numbers) > 200_000:
+            self.numbers.clear()
+            self.made.clear()
+        return PagePlaces(self, page, levels)
+
+
+class PagePlaces:
+    def __init__(self, places: Places, page: Page, levels: dict[int, int]):
+        self.made, self.page = places.made, page
+        numbers, tags, raw, parent = places.numbers, page.tags, page.raw, page.parent
+        self.number, self.away = [0], [-1]
+        #: child of the h1's parent element that the element is or lies in, and the depth below it
+        self.below, self.depth = [0], [0]
+        #: nearest block-level element, link and h1 at or above the element
+        self.leaf, self.link, self.head = [0], [0], [0]
+        home = next((e for e, d in levels.items() if d == 0), -1)
+        for e in range(1, len(tags)):
+            up = parent[e]
+            tag = tags[e]
+            if tag in INLINE:  # shares its parent's place
+                self.number.append(self.number[up]), self.away.append(self.away[up])
+                self.leaf.append(self.leaf[up]), self.link.append(e if tag == "a" else self.link[up]), self.head.append(self.head[up])
+                self.below.append(self.below[up]), self.depth.append(self.depth[up])
+                continue
+            self.leaf.append(e), self.link.append(self.link[up]), self.head.append(e if tag == "h1" else self.head[up])
+            key = (self.number[up], tag, raw[e])
+            self.number.append(numbers.setdefault(key, len(numbers) + 1))
+            self.away.append(levels[e] if e in levels else self.away[up])
+            if up == home and e not in levels:
+                self.below.append(e), self.depth.append(1)
+            else:
+                self.below.append(self.below[up]), self.depth.append(self.depth[up] + 1 if self.below[up] else 0)
+        self.levels = bool(levels)
+
+    def features(self, leaf: int) -> tuple[str, ...]:
+        page, below = self.page, self.below[leaf]
+        way = (min(self.away[leaf], 3), page.tags[below] if below else "-", min(self.depth[leaf], 3), bool(below and page.raw[below].strip()), self.levels)
+        key = (self.number[leaf], way)
+        got = self.made.get(key)
+        if got is None:
+            got = self.made[key] = self._make(leaf, *way)
+        return got
+
+    def _make(self, leaf: int, away: int, child: str, depth: int, marked: bool, levels: bool) -> tuple[str, ...]:
+        path = self.page.path(leaf)
+        tags = [self.page.tags[e] for e in path]
+        out = {f"tag:{tags[0] if tags else ''}", f"up2:{'<'.join(tags[:2])}", f"up3:{'<'.join(tags[:3])}"}
+        out.update(f"in:{t}" for t in tags)
+        for e in path:
+            attrs = self.page.attributes(e)
+            for name in ("class", "id", "role"):
+                out.update(f"{name}:{'?' if _RANDOM.match(w) else w}" for w in attrs.get(name, "").lower().split())
+        out.add("h1:none" if not levels else "h1:apart" if away < 0 else f"h1:{away}")
+        if away == 0:
+            out.update((f"child:{child}", f"child:{child}:{depth}:{marked}"))
+        return tuple(sorted(out))
+
+
+def page_blocks(html: str, places: Places) -> tuple[list[Block], str, Page]:
+    """(blocks, title, page); the title is the text of the h1."""
     page = Page(html)
-    blocks = page.blocks()
-    h1 = next((e for e in range(1, len(page.tags)) if page.tags[e] == "h1"), 0)
-    home = page.path(page.parent[h1]) if h1 else []
-    levels = {e: d for d, e in enumerate(home)}
-    known: dict[int, tuple[str, ...]] = {}
+    h1 = page.tags.index("h1") if "h1" in page.tags else 0
+    levels = {e: d for d, e in enumerate(page.path(page.parent[h1]))} if h1 else {}
+    here = places.of(page, levels)
     links: Counter[int] = Counter()
-    kinds: dict[int, str] = {}
     size: Counter[int] = Counter()
-    number, at = -1, -1
-    inline: dict[int, tuple[int, str]] = {}
+    kinds: dict[int, str] = {}
     for el, block, text in page.pieces:
         n = len(text)
         size[block] += n
-        if el not in inline:
-            a = next((e for e in page.path(el) if page.tags[e] == "a"), 0)
-            href = page.attributes(a).get("href", "") if a else ""
-            inline[el] = (a, "up" if href.startswith("..") else "root" if href.startswith("/") else "abs" if ":" in href else "rel" if href.endswith("/") else "other")
-        if inline[el][0]:
+        if a := here.link[el]:
             links[block] += n
-            kinds[block] = inline[el][1]
-    order = []
-    for el, block, text in page.pieces:
-        if block != at:
-            at = block
-            order.append(block)
-    shown, title, out = iter(_shown(page)), "", []
-    for (el, raw), block in zip(blocks, shown):
-        leaf = el
-        while leaf > 0 and page.tags[leaf] in ("a", "b", "i", "em", "strong", "code", "span", "kbd"):
-            leaf = page.parent[leaf]
-        if leaf not in known:
-            known[leaf] = _place(page, leaf, levels)
-        text = fold(raw)
-        if h1 and not title and h1 in page.path(leaf):
-            title = text
+            href = page.attributes(a).get("href", "")
+            kinds[block] = "up" if href.startswith("..") else "root" if href.startswith("/") else "abs" if ":" in href else "rel" if href.endswith("/") else "other"
+    title, out = "", []
+    for el, block, raw in page.blocks():
+        leaf = here.leaf[el]
+        if h1 and not title and here.head[leaf] == h1:
+            title = fold(raw)
         share = links[block] / max(1, size[block])
-        link = ("link:" + ("all" if share > 0.8 else "some" if share else "none"), "href:" + kinds.get(block, "-") + str(share > 0.8))
-        out.append(Block(raw, known[leaf] + link, leaf))
+        link = ("link:all", f"href:{kinds[block]}") if share > 0.8 else ("link:some",) if share else ("link:none",)
+        out.append(Block(raw, here.features(leaf) + link, leaf))
     return out, title, page
 
 
-def _shown(page: Page) -> list[int]:
-    """Block numbers that show something, in order."""
-    out, at, parts = [], -1, []
-    for _, block, text in page.pieces:
-        if block != at:
-            if parts and "".join(parts).strip():
-                out.append(at)
-            at, parts = block, []
-        parts.append(text)
-    if parts and "".join(parts).strip():
-        out.append(at)
-    return out
-
-
-def _place(page: Page, leaf: int, levels: dict[int, int]) -> tuple[str, ...]:
-    """Features of an element: its tags upward, the words of their classes, ids and roles, and its way to the h1's parent."""
-    path = page.path(leaf)
-    tags = [page.tags[e] for e in path]
-    out = {f"tag:{tags[0] if tags else ''}", f"up2:{'<'.join(tags[:2])}", f"up3:{'<'.join(tags[:3])}"}
-    out.update(f"in:{t}" for t in tags)
-    for e in path:
-        attrs = page.attributes(e)
-        for name in ("class", "id", "role"):
-            out.update(f"{name}:{'?' if _RANDOM.match(w) else w}" for w in attrs.get(name, "").lower().split())
-    meet = next((i for i, e in enumerate(path) if e in levels), None)
-    if not levels:
-        out.add("h1:none")
-    elif meet is None:
-        out.add("h1:apart")
-    else:
-        away = levels[path[meet]]
-        out.add(f"h1:{min(away, 3)}")
-        if away == 0:
-            below = path[meet - 1] if meet else 0
-            attrs = page.attributes(below) if below else {}
-            out.add(f"child:{page.tags[below] if below else '-'}")
-            out.add(f"child:{page.tags[below] if below else '-'}:{min(meet, 3)}:{bool(attrs)}")
-    return tuple(sorted(out))
-
-
 def line_blocks(text: str) -> list[Block]:
     """Lines of a scraped text that show something; separated by \\n only."""
     return [Block(line) for line in text.split("\n") if line.strip()]
@@ -174,57 +189,101 @@ def _script(text: str) -> str:
     return "none"
 
 
-def featurize(blocks: list[Block], title: str, often: list[int], share: list[float], ids: Ids, site: str) -> tuple[list[int], list[float], list[int]]:
-    """(ids, values, bounds) of a record's blocks; ``often`` is the number of urls with the same letters, 0 if few."""
-    n = len(blocks)
-    texts = [fold(b.text) for b in blocks]
-    words = [t.lower().split() for t in texts]
-    count = Counter(texts)
-    heads, plain = [], []
-    for i, t in enumerate(texts):
-        code = len(_CODE.findall(t)) >= 2
-        stop = bool(_STOP.search(t))
-        plain.append(not code and not stop and len(words[i]) <= 14)
-        heads.append(often[i] > 0 and len(words[i]) <= 6 and not code)
-    where = next((i for i, t in enumerate(texts) if title and t == title), -1)
-    back, fore = _runs(often, plain, heads), _runs(often[::-1], plain[::-1], heads[::-1])[::-1]
-    out_ids, out_values, bounds = [], [], [0]
-    basic = []
-    for i, t in enumerate(texts):
-        s = share[i]
-        level = "0" if not often[i] else "a" if s < 0.02 else "b" if s < 0.06 else "c" if s < 0.2 else "d"
-        basic.append(f"{level}{_shape(len(words[i]))}{'p' if plain[i] else 's'}{'T' if i == where else ''}")
-    for i, t in enumerate(texts):
-        w = words[i]
-        last = t[-1] if t else ""
-        end = last if last in ".:?!;,)>…。»|" else "a" if last.isalpha() else "9" if last.isdigit() else "o"
-        first = t[0] if t else ""
-        begin = "U" if first.isupper() else "l" if first.islower() else "9" if first.isdigit() else first if first in "©•*-–$<{" else "o"
-        code = len(_CODE.findall(t))
-        p1, n1 = basic[i - 1] if i else "^", basic[i + 1] if i + 1 < n else "$"
-        side = "-" if where < 0 else "pre" if i < where else "is" if i == where else "post"
-        names = [
-            "b:" + basic[i], "p:" + p1, "n:" + n1, "pn:" + p1 + n1, "bp:" + basic[i] + p1, "bn:" + basic[i] + n1,
-            "e:" + end, "f:" + begin, "be:" + basic[i] + end, "c:" + str(min(code, 4)), "sc:" + _script(t),
-            "side:" + side, "sb:" + side + basic[i], "|:" + str(min(t.count(" | "), 2)), ">:" + str(" > " in t or "»" in t or "›" in t),
-            "rep:" + str(min(count[t], 3)), "back:" + back[i], "fore:" + fore[i], "bf:" + back[i] + fore[i] + ("p" if plain[i] else "s"),
-            "pos:" + str(min(9, 10 * i // n)), "site:" + str(bool(site) and site in t.lower()), "tail:" + str(min(n - 1 - i, 3)), "top:" + str(min(i, 3)),
-            "user:" + str(bool(re.match(r"[\w.-]{3,20}: ", t))),
-        ]
-        names += blocks[i].tags
-        out_ids += [ids[x] for x in names]
-        out_values += [1.0] * len(names)
-        if w:
-            grams = {"w:" + x.strip(".,:;!?()\"'") for x in w}
-            if len(w) <= 14:
-                grams.update("g:" + a + " " + b for a, b in zip(w, w[1:]))
-                grams.add("t:" + re.sub(r"\d+", "#", t.lower()))
-            out_ids += [ids[x] for x in grams]
-            out_values += [1.5 / len(grams) ** 0.5] * len(grams)
-        out_ids.append(SIZE - 1)
-        out_values.append(1.0)
-        bounds.append(len(out_ids))
-    return out_ids, out_values, bounds
+def _near_names(b: str, before: str, after: str) -> tuple[str, ...]:
+    return "b:" + b, "p:" + before, "n:" + after, "pn:" + before + after, "bp:" + b + before, "bn:" + b + after
+
+
+def _text_names(b: str, end: str, begin: str, script: str, code: int, bars: int, rep: int, crumbs: bool, site: bool, user: bool) -> tuple[str, ...]:
+    return f"e:{end}", f"f:{begin}", f"be:{b}{end}", f"c:{code}", f"sc:{script}", f"|:{bars}", f"rep:{rep}", f">:{crumbs}", f"site:{site}", f"user:{user}"
+
+
+def _where_names(b: str, side: str, back: str, fore: str, plain: bool, pos: int, tail: int, top: int) -> tuple[str, ...]:
+    return f"side:{side}", f"sb:{side}{b}", f"back:{back}", f"fore:{fore}", f"bf:{back}{fore}{plain}", f"pos:{pos}", f"tail:{tail}", f"top:{top}"
+
+
+@dataclass
+class Records:
+    """Feature ids of the blocks of many records; see :class:`loamdex.llm.crf.Sequences`."""
+
+    ids: list[int] = field(default_factory=list)
+    bounds: list[int] = field(default_factory=lambda: [0])
+    words: list[int] = field(default_factory=list)
+    word_bounds: list[int] = field(default_factory=lambda: [0])
+    scale: list[float] = field(default_factory=list)
+    ends: list[int] = field(default_factory=lambda: [0])
+
+    def stacked(self) -> Sequences:
+        number = lambda x: np.array(x, np.int64)
+        return Sequences(number(self.ids), number(self.bounds), number(self.words), number(self.word_bounds), np.array(self.scale), number(self.ends))
+
+
+class Features:
+    """Turns records into feature ids.  What a few small traits determine is looked up by the traits."""
+
+    def __init__(self):
+        self.ids = Ids()
+        self.memo: tuple[dict, ...] = ({}, {}, {}, {})
+
+    def _new(self, kind: int, traits: tuple) -> tuple[int, ...]:
+        memo = self.memo[kind]
+        if len(memo) > 200_000:
+            memo.clear()
+        names = traits if kind == 3 else (_near_names, _text_names, _where_names)[kind](*traits)
+        got = memo[traits] = tuple(self.ids[x] for x in names)
+        return got
+
+    def record(self, out: Records, blocks: list[Block], texts: list[str], title: str, often: list[int], share: list[float], site: str) -> None:
+        """Add the features of a record's blocks to ``out``.
+
+        ``texts`` are the folded blocks, ``often`` the number of urls with the
+        same letters (0 if few) and ``share`` their share of the source's urls.
+        """
+        n = len(blocks)
+        low = [t.lower() for t in texts]
+        words = [t.split() for t in low]
+        count = Counter(texts)
+        where = texts.index(title) if title and title in count else -1
+        codes = [len(_CODE.findall(t)) for t in texts]
+        plain = [c < 2 and len(w) <= 14 and not _STOP.search(t) for t, w, c in zip(texts, words, codes)]
+        heads = [o > 0 and len(w) <= 6 and c < 2 for o, w, c in zip(often, words, codes)]
+        back, fore = _runs(often, plain, heads), _runs(often[::-1], plain[::-1], heads[::-1])[::-1]
+        basic = ["^"]
+        for i in range(n):
+            s = share[i]
+            level = "0" if not often[i] else "a" if s < 0.02 else "b" if s < 0.06 else "c" if s < 0.2 else "d"
+            basic.append(level + _shape(len(words[i])) + ("p" if plain[i] else "s") + ("T" if i == where else ""))
+        basic.append("$")
+        near, looks, place, tags = self.memo
+        look_up, ids = self.ids.__getitem__, out.ids
+        for i, t in enumerate(texts):
+            b = basic[i + 1]
+            key = (b, basic[i], basic[i + 2])
+            ids += near.get(key) or self._new(0, key)
+            last, first = t[-1], t[0]
+            end = last if last in ".:?!;,)>…。»|" else "a" if last.isalpha() else "9" if last.isdigit() else "o"
+            begin = "U" if first.isupper() else "l" if first.islower() else "9" if first.isdigit() else first if first in "©•*-–$<{" else "o"
+            crumbs = ">" in t and " > " in t or "»" in t or "›" in t
+            key = (b, end, begin, _script(t), min(codes[i], 4), min(t.count(" | "), 2), min(count[t], 3), crumbs, bool(site) and site in low[i], ": " in t and bool(_USER.match(t)))
+            ids += looks.get(key) or self._new(1, key)
+            side = "-" if where < 0 else "pre" if i < where else "is" if i == where else "post"
+            key = (b, side, back[i], fore[i], plain[i], min(9, 10 * i // n), min(n - 1 - i, 3), min(i, 3))
+            ids += place.get(key) or self._new(2, key)
+            if key := blocks[i].tags:
+                ids += tags.get(key) or self._new(3, key)
+            ids.append(SIZE - 1)
+            out.bounds.append(len(ids))
+            w = words[i]
+            if len(w) <= 30:  # longer blocks tell themselves by their shape
+                grams = set(w)
+                if len(w) <= 14:
+                    grams.update(map("\t".join, zip(w, w[1:])))
+                    grams.add("\n" + _DIGITS.sub("#", low[i]))
+                out.words += map(look_up, grams)
+                out.scale.append(1.5 / len(grams) ** 0.5)
+            else:
+                out.scale.append(0.0)
+            out.word_bounds.append(len(out.words))
+        out.ends.append(len(out.bounds) - 1)
 
 
 def _runs(often: list[int], plain: list[bool], heads: list[bool]) -> list[str]:
@@ -302,9 +361,9 @@ class Often:
 
     def look(self, source: str, blocks: list[Block]) -> tuple[list[int], list[float]]:
         keys = [line_key(source, b.text) for b in blocks]
-        wanted = np.array([k or 0 for k in keys], np.uint64)
         if not len(self.keys):
             return [0] * len(keys), [0.0] * len(keys)
+        wanted = np.array([k or 0 for k in keys], np.uint64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         hits = np.where((self.keys[at] == wanted) & (wanted != 0), self.counts[at], 0).tolist()
         total = max(1, self.urls.get(source, 1))
@@ -321,7 +380,7 @@ def _keys(is_page: bool):
         for batch in batches:
             sources, keys, urls = [], [], []
             for source, url, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                blocks = [raw for _, raw in Page(text).blocks()] if is_page else text.split("\n")
+                blocks = block_texts(text) if is_page else text.split("\n")
                 found = {k for b in blocks if (k := line_key(source, b)) is not None}
                 keys.extend(found)
                 sources.extend([xxhash.xxh3_64_intdigest(source)] * len(found))
@@ -364,67 +423,57 @@ def _site(source: str | None) -> str:
     return re.split(r"[_\W]", source or "")[0].lower()
 
 
-def _stack(parts: list[tuple[list[int], list[float], list[int]]]) -> Sequences:
-    ids = np.fromiter((x for p in parts for x in p[0]), np.int64)
-    values = np.fromiter((x for p in parts for x in p[1]), np.float64)
-    bounds, ends, base = [0], [0], 0
-    for p in parts:
-        bounds += [base + b for b in p[2][1:]]
-        base += p[2][-1]
-        ends.append(len(bounds) - 1)
-    return Sequences(ids, values, np.array(bounds), np.array(ends))
-
-
 def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 120) -> tuple[Chain, Chain]:
     """(page field, line field) from (source, html, main selectors, exclude selectors) of sampled pages."""
-    ids, rng = Ids(), np.random.default_rng(3)
-    page_parts, page_truth, line_parts, line_truth = [], [], [], []
+    features, places, rng = Features(), Places(), np.random.default_rng(3)
+    page_items, page_truth, line_items, line_truth = Records(), [], Records(), []
     for source, html, selectors, exclude in rows:
-        blocks, title, page = page_blocks(html)
+        blocks, title, page = page_blocks(html, places)
         hits, share = often.look(source, blocks)
         labels = label_page(blocks, page, selectors, exclude, hits)
         if labels is None:
             continue
-        page_parts.append(featurize(blocks, title, hits, share, ids, _site(source)))
+        features.record(page_items, blocks, [fold(b.text) for b in blocks], title, hits, share, _site(source))
         page_truth += labels
         lines, truth = as_lines(blocks, labels, rng)
         hits, share = often.look(source, lines)
-        line_parts.append(featurize(lines, title if rng.random() < 0.9 else "", hits, share, ids, _site(source)))
+        features.record(line_items, lines, [b.text for b in lines], title if rng.random() < 0.9 else "", hits, share, _site(source))
         line_truth += truth
-    fields = Chain(SIZE), Chain(SIZE)
-    if page_parts:
-        fields[0].fit(_stack(page_parts), np.array(page_truth), rounds)
-        fields[1].fit(_stack(line_parts), np.array(line_truth), rounds)
-    return fields
+    chains = Chain(SIZE), Chain(SIZE)
+    if page_truth:
+        chains[0].fit(page_items.stacked(), np.array(page_truth), rounds)
+        chains[1].fit(line_items.stacked(), np.array(line_truth), rounds)
+    return chains
 
 
 _OUT = T.StructType([T.StructField("rec_kind", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("block_no", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
-def _extract(kind: str, field: Chain, often: Often):
+def _extract(kind: str, chain: Chain, often: Often):
     """The mapper from (rec_id, source, title, text) to the blocks of the article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids()
+        features, places = Features(), Places()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                parts, owners, texts, numbers = [], [], [], []
+                items, owners, texts, numbers = Records(), [], [], []
                 for rec, source, title, text in zip(*(piece.column(i).to_pylist() for i in range(4))):
                     if kind == "page":
-                        blocks, title, _ = page_blocks(text)
+                        blocks, title, _ = page_blocks(text, places)
                     else:
                         blocks, title = line_blocks(text), fold(title or "")
                     if not blocks:
                         continue
                     hits, share = often.look(source, blocks) if source is not None else ([0] * len(blocks), [0.0] * len(blocks))
-                    parts.append(featurize(blocks, title, hits, share, ids, _site(source)))
+                    folded = [fold(b.text) for b in blocks]
+                    features.record(items, blocks, folded, title, hits, share, _site(source))
                     owners += [rec] * len(blocks)
-                    texts += [fold(b.text) for b in blocks]
+                    texts += folded
                     numbers += range(len(blocks))
-                if not parts:
+                if not owners:
                     continue
-                keep = np.flatnonzero(field.decode(_stack(parts)))
+                keep = np.flatnonzero(chain.decode(items.stacked()))
                 if len(keep):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -466,8 +515,8 @@ def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample
     share = F.pmod(F.xxhash64("rec_id"), F.lit(1 << 30)) < int(min(1.0, 1.5 * sample / max(1, ok.count())) * (1 << 30))
     drawn = p.where(share).select("source", "url", "text", "rec_id").transform(lambda x: join_bounded(x, rules, "source", n_rules))
     drawn = drawn.orderBy(F.xxhash64("rec_id"), "rec_id").limit(sample).toArrow().to_pylist()
-    fields = train([(r["source"], r["text"], r["main_content_selectors"] or [], r["exclude_selectors"] or []) for r in drawn], often, rounds)
-    out = [d.select("rec_id", "source", "title", "text").mapInArrow(_extract(kind, f, often), _OUT) for d, kind, f in ((p, "page", fields[0]), (s, "scraped", fields[1]))]
+    chains = train([(r["source"], r["text"], r["main_content_selectors"] or [], r["exclude_selectors"] or []) for r in drawn], often, rounds)
+    out = [d.select("rec_id", "source", "title", "text").mapInArrow(_extract(kind, c, often), _OUT) for d, kind, c in ((p, "page", chains[0]), (s, "scraped", chains[1]))]
     return out[0].unionByName(out[1])
 
 

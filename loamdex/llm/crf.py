@@ -13,20 +13,36 @@ from dataclasses import dataclass
 import numpy as np
 
 
+def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of consecutive segments, which may be empty."""
+    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 @dataclass
 class Sequences:
-    """Items of many sequences: ``ids``/``values`` of item i lie in ``bounds[i]:bounds[i + 1]``; ``ends`` cuts items into sequences."""
+    """Items of many sequences.
+
+    Item i has the features ``ids[bounds[i]:bounds[i + 1]]`` with value 1 and
+    ``words[word_bounds[i]:word_bounds[i + 1]]`` with value ``scale[i]``;
+    ``ends`` cuts the items into sequences.
+    """
 
     ids: np.ndarray
-    values: np.ndarray
     bounds: np.ndarray
+    words: np.ndarray
+    word_bounds: np.ndarray
+    scale: np.ndarray
     ends: np.ndarray
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        if not len(self.ids):
-            return np.zeros(len(self.bounds) - 1)
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.ids] * self.values, dtype=np.float64)])
-        return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
+        return _sums(weights[self.ids], self.bounds) + self.scale * _sums(weights[self.words], self.word_bounds)
+
+    def spread(self, off: np.ndarray, size: int) -> np.ndarray:
+        """What a deviation of each item adds to each feature: the transpose of :meth:`scores`."""
+        one = np.repeat(off, np.diff(self.bounds))
+        two = np.repeat(off * self.scale, np.diff(self.word_bounds))
+        return np.bincount(self.ids, weights=one, minlength=size) + np.bincount(self.words, weights=two, minlength=size)
 
 
 def _padded(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +106,6 @@ class Chain:
         rows = np.arange(n)
         params = [self.w, self.trans, self.start, self.end]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        owner = np.repeat(np.arange(len(data.bounds) - 1), np.diff(data.bounds))
         seen = np.zeros_like(self.trans)
         both = mask[:, 1:]
         np.add.at(seen, (labels[:, :-1][both], labels[:, 1:][both]), 1)
@@ -99,7 +114,7 @@ class Chain:
             p1, pair = self._marginals(score, mask, last)
             off = (labels - p1)[mask]
             grads = [
-                np.bincount(data.ids, weights=data.values * off[owner], minlength=len(self.w)) / n,
+                data.spread(off, len(self.w)) / n,
                 (seen - pair) / n,
                 np.array([np.mean(labels[:, 0] == a) - np.mean(p1[:, 0] if a else 1 - p1[:, 0]) for a in (0, 1)]),
                 np.array([np.mean(labels[rows, last] == a) - np.mean(p1[rows, last] if a else 1 - p1[rows, last]) for a in (0, 1)]),
