@@ -11,13 +11,15 @@ import re
 from functools import lru_cache
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_HIDDEN_PART = r"<(script|style|template|title)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>(.*?)(?:</\1\s*>|\Z)"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|" + _HIDDEN_PART + r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I
+)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _CUT = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
 
-# Fixed values of HTML: void elements, elements whose text is not shown, inline elements that leave a block's text together.
+# Fixed values of HTML: void elements, and inline elements that leave a block's text together.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style template title".split())
 INLINE = frozenset("a b i em strong code span kbd".split())
 
 #: An opening tag ends these open elements, up to the nearest of the second set.
@@ -35,8 +37,9 @@ _ENDS_P = frozenset("p div ul ol dl table pre blockquote section article aside h
 class Page:
     """Elements in document order (parallel lists) and the text pieces between tags.
 
-    ``pieces`` are (element, block, text, break_before): the element that holds
-    the text, and a block number that grows at every block-level tag.
+    ``pieces`` are (element, block, text): the element that holds the text, and
+    a block number that grows at every block-level tag (-1 for a title, which
+    is not shown).
     """
 
     def __init__(self, html: str):
@@ -48,18 +51,19 @@ class Page:
 
     def _read(self, html: str) -> None:
         tags, raw, parent, pieces = self.tags, self.raw, self.parent, self.pieces
-        here, block, last, hidden = 0, 0, 0, ""
+        here, block, last = 0, 0, 0
         for m in _TOKEN.finditer(html):
-            slash, name, rest = m.groups()
+            hidden, hidden_raw, body, slash, name, rest = m.groups()
             start, end = m.span()
-            if hidden:
-                if not (slash and name.lower() == hidden):
-                    continue
-                hidden = ""
-                last = start
             if start > last:
                 pieces.append((here, block, html[last:start]))
             last = end
+            if hidden is not None:
+                tags.append(hidden.lower()), raw.append(hidden_raw), parent.append(here)
+                block += 1
+                if tags[-1] == "title":  # can be selected, but is in no block
+                    pieces.append((len(tags) - 1, -1, body))
+                continue
             if name is None:
                 continue
             tag = name.lower()
@@ -82,11 +86,9 @@ class Page:
             tags.append(tag)
             raw.append(rest)
             parent.append(here)
-            if tag in HIDDEN:
-                hidden = tag
-            elif tag not in VOID and not rest.endswith("/"):
+            if tag not in VOID and not rest.endswith("/"):
                 here = len(tags) - 1
-        if not hidden and last < len(html):
+        if last < len(html):
             rest = html[last:]
             cut = _CUT.search(rest)
             pieces.append((here, block, rest[: cut.start()] if cut else rest))
@@ -115,6 +117,8 @@ class Page:
         out: list[tuple[int, int, str]] = []
         at, parts, element = -1, "", 0
         for el, block, text in self.pieces:
+            if block < 0:
+                continue
             if block != at:
                 if parts and not parts.isspace():
                     out.append((element, at, unescape(parts) if "&" in parts else parts))
@@ -126,7 +130,6 @@ class Page:
             out.append((element, at, unescape(parts) if "&" in parts else parts))
         return out
 
-_HIDDEN_PART = r"<(script|style|template|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
 _BLOCK_TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|" + _HIDDEN_PART + r"|</?(?!(?:a|b|i|em|strong|code|span|kbd|br)[\s/>])[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>",
     re.S | re.I,

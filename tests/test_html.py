@@ -63,5 +63,6 @@ def test_scrape():
     # the first selector that matches decides, even if it is empty
     assert scrape_page("<h1></h1><title>t</title><h2>b</h2><p>c</p>", ["p"], ["h1", "h2"], [], [], []) is None
     assert scrape_page("<h2>b</h2>", ["p"], ["h2"], [], [], []) is None
+    assert scrape_page("<title>T &amp; U</title><p>c</p>", ["p"], ["h1", "title"], [], [], [])[0] == "T & U"
     assert scrape_page(None, ["p"], ["h2"], [], [], []) is None
     assert scrape_page("<h2>b</h2><p>x</p><pre>y</pre><pre>y</pre>", ["p"], ["h2"], [], ["pre", "pre"], [])[3] == ["y"]

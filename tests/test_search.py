@@ -52,8 +52,8 @@ def vectors(spark, rows):
 
 
 def test_exact_search_ties_dimension_and_zero(spark):
-    v = vectors(spark, [("b", [1.0, 0, 0, 0]), ("a", [1.0, 0, 0, 0]), ("z", [0.0] * 4), ("short", [1.0])])
-    q = spark.createDataFrame([(1, [2.0, 0, 0, 0])], "query_id long, query_vector array<float>")
+    v = vectors(spark, [("b", [1.0, 0.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0, 0.0]), ("z", [0.0] * 4), ("short", [1.0])])
+    q = spark.createDataFrame([(1, [2.0, 0.0, 0.0, 0.0])], "query_id long, query_vector array<float>")
     got = dense.exact_top_k(v, q, 3).collect()
     assert [(r["doc_id"], r["score"]) for r in got] == [("a", 2.0), ("b", 2.0), ("z", 0.0)]
     with pytest.raises(Exception, match="expected dimension 4"):
