@@ -66,7 +66,7 @@ def test_copies_come_first_and_a_hot_vector_does_not_matter(spark):
 
 
 def test_few_vectors_none_and_pairs(spark):
-    two = run(spark, {5: [1.0, 0, 0, 0], 9: [0, 1.0, 0, 0]}, 4)
+    two = run(spark, {5: [1.0, 0.0, 0.0, 0.0], 9: [0.0, 1.0, 0.0, 0.0]}, 4)
     assert two == {5: [9], 9: [5]}
     assert run(spark, {}, 4) == {}
     df = spark.createDataFrame([(2, 1, 0.5, 1), (1, 2, 0.5, 1)], "id long, other long, similarity double, rank int")
