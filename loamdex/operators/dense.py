@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loamdex.functions.text import inner_product, unit_vector
 from loamdex.runtime import blank, counted, join_bounded, materialize
@@ -66,30 +69,87 @@ def normalize(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn(column, unit_vector(F.col(column)))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int | None = None, n_queries: int | None = None, similarity: Column | None = None) -> DataFrame:
+#: Vector queries that one scan serves; more are served block by block.
+QUERY_BLOCK = 20_000
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+
+
+class _Best:
+    """The k best (score, doc_id) of each query so far; ties go to the smaller doc_id."""
+
+    def __init__(self, queries: np.ndarray, k: int, digits: int | None):
+        self.queries, self.k, self.digits = queries, k, digits
+        self.q, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, docs: np.ndarray, vectors: np.ndarray) -> None:
+        scores = vectors @ self.queries.T
+        if self.digits is not None:
+            scores = np.round(scores, self.digits)
+        row, q = np.nonzero(scores >= self.least)  # soon few: what cannot enter a query's best is left out
+        if not len(row):
+            return
+        q, score, doc = np.concatenate([self.q, q]), np.concatenate([self.score, scores[row, q]]), np.concatenate([self.doc, docs[row]])
+        order = np.lexsort((np.unique(doc, return_inverse=True)[1], -score, q))
+        q, score, doc = q[order], score[order], doc[order]
+        first = np.searchsorted(q, q, "left")
+        kept = np.arange(len(q)) - first < self.k
+        self.q, self.score, self.doc = q[kept], score[kept], doc[kept]
+        full = np.flatnonzero(np.bincount(self.q, minlength=len(self.queries)) == self.k)
+        self.least[full] = self.score[np.searchsorted(self.q, full, "right") - 1]
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int | None = None, n_queries: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The k vectors with the largest inner product for each query: (query_id, doc_id, score, rank).
 
     ``vectors`` has (doc_id, embedding), ``queries`` (query_id, query_vector).
-    The queries are a stated set: they are counted, and broadcast while few;
-    more are joined block by block (a block number on the query side, so that
-    each task holds one block of queries against one part of the vectors).
-    Only pairs of equal dimension are scored.
+    The queries are a stated set: a block of at most ``block`` of them goes to
+    the workers as one matrix, each Arrow batch of vectors is multiplied with
+    it, and a task keeps the k best of each query, so that the shuffle carries
+    k rows for each query and task however many vectors there are.  Only
+    vectors of a query's dimension are scored.
     """
     q, n = (queries, n_queries) if n_queries is not None else counted(queries, "queries")
-    score = inner_product(F.col("embedding"), F.col("query_vector")) if similarity is None else similarity
+    blocks = max(1, -(-n // block))
+    doc_type = vectors.schema["doc_id"].dataType
+    schema = StructType([StructField("query_id", LongType()), StructField("doc_id", doc_type), StructField("score", DoubleType())])
+    arrow_doc = to_arrow_type(doc_type)
     parts = []
-    blocks = max(1, -(-n // 20_000))
-    for block in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pairs = vectors.join(F.broadcast(part), F.size("embedding") == F.size("query_vector"))
-        parts.append(pairs.select("query_id", "doc_id", score.alias("score")))
-    rows = parts[0]
+    for number in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        table = part.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>"), F.size("query_vector").alias("d")).where("d > 0").toArrow()
+        dims = table.column("d").to_numpy()
+        held = {}
+        for dim in np.unique(dims):
+            mine = table.filter(pa.array(dims == dim))
+            held[int(dim)] = (mine.column("query_id").to_numpy(), _matrix(mine.column("query_vector"), int(dim)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best = {dim: _Best(x, k, digits) for dim, (_, x) in held.items()}
+            for batch in batches:
+                sizes = batch.column(2).to_numpy()
+                for dim, b in best.items():
+                    mine = batch.filter(pa.array(sizes == dim))
+                    docs = np.array(mine.column(0).to_pylist(), object)
+                    x = _matrix(mine.column(1), dim)
+                    step = max(64, 4_000_000 // max(1, len(b.queries)))
+                    for at in range(0, len(docs), step):
+                        b.add(docs[at : at + step], x[at : at + step])
+            for dim, b in best.items():
+                ids = held[dim][0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b.q], pa.int64()), pa.array(b.doc.tolist(), arrow_doc), pa.array(b.score)], names=["query_id", "doc_id", "score"])
+
+        rows = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("d"))
+        parts.append(rows.where(F.col("d").isin(list(held))).mapInArrow(run, schema))
+    out = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
-    if digits is not None:
-        rows = rows.withColumn("score", F.round("score", digits))
+        out = out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
 class InvertedLists:

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.functions.text import analyse, tokens
-from loamdex.runtime import join_bounded, materialize
+from loamdex.functions.text import analyse, stemmed, tokens
+from loamdex.runtime import counted, join_bounded, materialize
 
 
 @dataclass
@@ -32,8 +32,9 @@ class Index:
 
 def tokenized(df: DataFrame, doc: str, text: str, stem: bool = True) -> DataFrame:
     """(doc_id, tokens) of documents that have tokens; the others are in no lexical index."""
-    found = analyse(F.col(text)) if stem else tokens(F.col(text))
-    return df.select(F.col(doc).alias("doc_id"), found.alias("tokens")).where(F.size("tokens") > 0)
+    # rows are dropped before the stemmer, which never empties a list; a filter on its result would run it twice
+    raw = df.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    return raw.withColumn("tokens", stemmed(F.col("tokens"))) if stem else raw
 
 
 def term_counts(tokens_df: DataFrame) -> DataFrame:
@@ -99,17 +100,18 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     return queries.select("query_id", F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def score_terms(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, n_terms: int | None = None) -> DataFrame:
+def score_terms(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of every document with a query term.
 
-    The batch's terms prune the postings first: with a known small number they
-    are broadcast, else the join shuffles.  The statistics are one row.
+    The batch's terms are counted; few are broadcast, and the semi-join prunes
+    the postings below their own aggregation.  The pruned postings are kept,
+    as document frequencies and scores both read them.  The statistics are one
+    row.
     """
-    few = terms.select("term").distinct()
-    hit = index.postings.join(few if n_terms is None else F.broadcast(few), "term", "left_semi")
-    freq = doc_freq(hit)
-    weighted = terms.join(freq, "term")
-    rows = hit.join(weighted if n_terms is None else F.broadcast(weighted), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats))
+    terms, n = counted(terms, "query-terms")
+    hit = materialize(join_bounded(index.postings, terms.select("term").distinct(), "term", n, "left_semi").select("term", "doc_id", "tf"), "pruned-postings")
+    weighted = terms.join(doc_freq(hit), "term")
+    rows = join_bounded(hit, weighted, "term", n).join(index.lengths.select("doc_id", "doc_length"), "doc_id").crossJoin(F.broadcast(index.stats))
     score = bm25(F.col("tf"), F.col("doc_length"), F.col("average_document_length"), F.col("doc_freq"), F.col("total_documents"), k1, b)
     return rows.groupBy("query_id", "doc_id").agg(F.sum(score * F.col("qtf")).alias("score"))
 
@@ -125,14 +127,14 @@ def top_k(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def search(index: Index, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, stem: bool = True, digits: int | None = None, n_terms: int | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, stem: bool = True, digits: int | None = None) -> DataFrame:
     """The k best documents of each query: (query_id, doc_id, score, rank).
 
     A query term counts as often as the query repeats it.  Unknown terms and
     postings of documents without a length add nothing; a query without tokens
     has no rows.
     """
-    return top_k(score_terms(index, query_terms(queries, stem), k1, b, n_terms), k, digits)
+    return top_k(score_terms(index, query_terms(queries, stem), k1, b), k, digits)
 
 
 def running_stats(lengths: DataFrame, buckets: int = 64) -> DataFrame:

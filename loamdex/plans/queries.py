@@ -202,7 +202,7 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 def bm25_single(spark: SparkSession, d: str) -> DataFrame:
     """L3: the 20 best documents for one query that repeats a word."""
     one = spark.createDataFrame([(1, "set the default timeout of the cache when the default lock fails")], "query_id long, query string")
-    return lexical.search(_index(spark, d), one, 20, stem=False, digits=DIGITS, n_terms=20)
+    return lexical.search(_index(spark, d), one, 20, stem=False, digits=DIGITS)
 
 
 @query

@@ -71,6 +71,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that :func:`materialize` left in the shared folder; results that were not computed before fail then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark)}/loamdex")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     """The materialized ``df`` and its row count (read from the footers)."""
     kept = materialize(df, tag)

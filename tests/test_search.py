@@ -60,6 +60,20 @@ def test_exact_search_ties_dimension_and_zero(spark):
         dense.check_dimension(v, "embedding", 4).collect()
 
 
+def test_exact_search_in_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 3)), 0)  # many ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:40])], "query_id long, query_vector array<float>")
+    want = {i: [int(j) for j in np.lexsort((np.arange(300), -(x @ x[i])))[:7]] for i in range(40)}
+    for block in (40, 6):
+        got: dict[int, list[int]] = {}
+        for r in dense.exact_top_k(v, q, 7, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["doc_id"])
+        assert got == want
+    assert dense.exact_top_k(v, q.limit(0), 7).count() == 0 and dense.exact_top_k(v.limit(0), q, 7).count() == 0
+
+
 def test_inverted_lists_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(12, 16))[np.arange(600) % 12] + 0.3 * rng.normal(size=(600, 16))
