@@ -103,5 +103,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_nearest, p3_found, p3_blocks, p4_found, p4_links, p5_found, p5_pieces, p6_ids, p7_found, p7_near, p8_found, p8_restored)
 }
 
+_RUNS = "regexp_extract_all(lower(line), '\\p{L}+')"
+_WORDS = "coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), [])"
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+"
+
+
+def _over(text: str) -> str:
+    return f"(len(list_filter(string_split_regex({text}, '{_SPACE}'), lambda w: w <> '')) > 256 OR length({text}) > 2048)"
+
+
 #: SQL for the queries that SQL can state over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH l AS (SELECT id, source_id, url, unnest(string_split(text, E'\\n')) AS line, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS line_no FROM chunks WHERE text IS NOT NULL AND text <> ''),
+        k AS (SELECT id, line_no::INT AS line_no, source_id, url, {_RUNS} AS runs FROM l), c AS (SELECT source_id, runs FROM k WHERE len(runs) >= 3 GROUP BY source_id, runs HAVING count(DISTINCT url) >= 12)
+        SELECT DISTINCT id, line_no FROM k JOIN c USING (source_id, runs)""",
+    "p2_found": """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM vector_documents WHERE len(embedding) = 384
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS r FROM v a, v b WHERE a.id <> b.id)
+        SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM s WHERE r <= 10""",
+    "p4_found": f"""WITH w AS (SELECT id, {_WORDS} AS w FROM chunks), s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) AS g FROM w WHERE len(w) >= 10),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+        SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o >= 0.6 * (x.n + y.n - o) - 1e-9""",
+    "p5_found": f"""SELECT 'scraped' AS rec_kind, scraped_id AS rec_id FROM scraped_documents WHERE {_over('content')}
+        UNION ALL SELECT 'chunk', piece_id FROM document_chunks WHERE {_over('text')}""",
+    "p7_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM test_items), q AS (SELECT item_id, least(12, len(w)) AS m, w FROM i WHERE len(w) > 0),
+        g AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: w[k : k + m - 1])) AS g FROM q),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents), m AS (SELECT DISTINCT m FROM g),
+        x AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: w[k : k + m - 1])) AS g FROM d, m WHERE len(w) >= m)
+        SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (m, g)""",
+}
