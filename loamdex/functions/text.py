@@ -102,10 +102,14 @@ def upload_url(path: Column) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    """The vector scaled to length 1, in double precision; a zero vector stays as it is."""
+    """The vector scaled to length 1, in double precision; a zero vector stays as it is.
+
+    The length is bound by an outer lambda, so it is computed once a vector and not once an element.
+    """
     d = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
+    scaled = F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d))
+    return F.element_at(scaled, 1)
 
 
 def inner_product(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions.text import analyse, stemmed, tokens
-from loamdex.runtime import counted, join_bounded, materialize
+from loamdex.runtime import computed_once, counted, join_bounded, materialize
 
 
 @dataclass
@@ -33,7 +33,8 @@ class Index:
 def tokenized(df: DataFrame, doc: str, text: str, stem: bool = True) -> DataFrame:
     """(doc_id, tokens) of documents that have tokens; the others are in no lexical index."""
     # rows are dropped before the stemmer, which never empties a list; a filter on its result would run it twice
-    raw = df.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    named = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))
+    raw = computed_once(named, "tokens", tokens(F.col("_text"))).select("doc_id", "tokens").where(F.size("tokens") > 0)
     return raw.withColumn("tokens", stemmed(F.col("tokens"))) if stem else raw
 
 

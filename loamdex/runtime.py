@@ -105,6 +105,15 @@ def frequent_keys(df: DataFrame, key: str, distinct: str, least: int) -> DataFra
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a costly column that later filters do not compute a second time.
+
+    The optimizer pushes a filter on a projected column below the projection by
+    repeating its expression; it does not push one below a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def data_path(name: str, default: str) -> str:
     """A path parameter that an environment variable can override."""
     return os.environ.get(name, default)
