@@ -331,10 +331,16 @@ def label_page(blocks: list[Block], page: Page, selectors: list[str], exclude: l
     return out if any(out) else None
 
 
-def as_lines(blocks: list[Block], labels: list[bool], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
-    """A labelled page written out as a scraper would: code line by line, menus joined or one by one, furniture at times left out."""
+def as_lines(blocks: list[Block], labels: list[bool], often: list[int], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
+    """A labelled page written out as a scraper would.
+
+    Code comes line by line, menus joined or one by one; furniture is at times
+    left out, and at times some of it stands between the article's own lines.
+    """
     drop = {k for k in ("before", "between", "after") if rng.random() < 0.25}
     inside = [i for i, x in enumerate(labels) if x]
+    prompts = [fold(b.text) for b, ok, n in zip(blocks, labels, often) if n and not ok and "|" not in b.text]
+    stray = rng.random() * 0.4 if prompts and rng.random() < 0.7 else 0.0
     out, truth = [], []
     for i, (b, ok) in enumerate(zip(blocks, labels)):
         zone = "in" if ok else "before" if i < inside[0] else "after" if i > inside[-1] else "between"
@@ -349,6 +355,10 @@ def as_lines(blocks: list[Block], labels: list[bool], rng: np.random.Generator)
             if part.strip():
                 out.append(Block(fold(part)))
                 truth.append(ok)
+                if ok and rng.random() < stray:
+                    for _ in range(rng.integers(1, 4)):
+                        out.append(Block(prompts[rng.integers(len(prompts))]))
+                        truth.append(False)
     return out, truth
 
 
@@ -423,7 +433,7 @@ def _site(source: str | None) -> str:
     return re.split(r"[_\W]", source or "")[0].lower()
 
 
-def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 120) -> tuple[Chain, Chain]:
+def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 80) -> tuple[Chain, Chain]:
     """(page field, line field) from (source, html, main selectors, exclude selectors) of sampled pages."""
     features, places, rng = Features(), Places(), np.random.default_rng(3)
     page_items, page_truth, line_items, line_truth = Records(), [], Records(), []
@@ -435,7 +445,7 @@ def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, round
             continue
         features.record(page_items, blocks, [fold(b.text) for b in blocks], title, hits, share, _site(source))
         page_truth += labels
-        lines, truth = as_lines(blocks, labels, rng)
+        lines, truth = as_lines(blocks, labels, hits, rng)
         hits, share = often.look(source, lines)
         features.record(line_items, lines, [b.text for b in lines], title if rng.random() < 0.9 else "", hits, share, _site(source))
         line_truth += truth
@@ -488,7 +498,7 @@ def _extract(kind: str, chain: Chain, often: Often):
     return run
 
 
-def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 120) -> DataFrame:
+def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 80) -> DataFrame:
     """(rec_kind, rec_id, block_no, text): the article's blocks of all pages and scraped texts, in order.
 
     ``pages`` has page_id, source_id, url, html, status_code, ``scraped`` has

@@ -80,8 +80,10 @@ def test_labels_by_selectors():
     labels = label_page(blocks, page, ["main"], ["script"], [0] * 7 + [9] + [0] * 2)
     assert title.startswith("About the") and [b for b in labels] == [False, False, True, True, True, True, True, False, False, False]
     assert label_page(blocks, page, ["article"], [], [0] * len(blocks)) is None
-    lines, truth = as_lines(blocks, labels, np.random.default_rng(1))
+    lines, truth = as_lines(blocks, labels, [0] * len(blocks), np.random.default_rng(1))
     assert sum(truth) == 5 and len(lines) == len(truth)
+    mixed = [as_lines(blocks, labels, [3] * len(blocks), np.random.default_rng(k))[1] for k in range(40)]
+    assert all(sum(t) == 5 for t in mixed) and any(len(t) > len(blocks) for t in mixed)
 
 
 def test_field_learns_a_chain_and_decodes_it():
