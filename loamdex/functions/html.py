@@ -161,32 +161,50 @@ def fold(text: str) -> str:
     return " ".join(text.split())
 
 
-_STEP = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:=[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]")
+_STEP = re.compile(
+    r"(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?P<val>\"[^\"]*\"|'[^']*'|[^\s\"'\]]+))?\s*\]"
+)
+_PARTS = re.compile(r"\s*>\s*|\s+|(?:\[[^\]]*\]|[^\s>\[])+")
+
+Step = tuple[bool, tuple[tuple[str, str, str], ...]]
 
 
 @lru_cache(maxsize=4096)
-def compile_selector(selector: str) -> tuple[tuple[tuple[str, str, str], ...], ...]:
-    """Simple selectors from the outermost: each a tuple of (kind, name, value) tests.
+def compile_selector(selector: str) -> tuple[tuple[Step, ...], ...]:
+    """The alternatives of a selector, each as steps from the outermost: (child of the step before, tests).
 
-    Knows tags, classes, ids, attribute presence and equality, and the
-    descendant combinator.  Raises ``ValueError`` on anything else.
+    Knows tags, classes, ids, attributes (present, =, ~=, ^=, $=, *=), lists,
+    and the descendant and child combinators; raises ``ValueError`` otherwise.
     """
-    steps = []
-    for part in selector.split():
+    return tuple(_compile(one.strip(), selector) for one in re.findall(r"(?:\[[^\]]*\]|[^,\[])+|(?<=,)(?=,)", selector) or [""])
+
+
+def _compile(text: str, selector: str) -> tuple[Step, ...]:
+    steps: list[Step] = []
+    child, open_ = False, False
+    for part in _PARTS.findall(text):
+        if not part.strip() or part.strip() == ">":
+            child, open_ = child or ">" in part, True
+            continue
         tests, at = [], 0
         while at < len(part):
             m = _STEP.match(part, at)
             if not m or m.group("tag") and at:
                 raise ValueError(f"selector not understood: {selector!r}")
-            kind = m.lastgroup if m.lastgroup != "val" else "attr"
-            if kind == "attr":
-                tests.append(("has" if m.group("val") is None else "is", m.group("attr").lower(), m.group("val") or ""))
-            elif m.group() != "*":
-                tests.append((kind, m.group(kind).lower() if kind == "tag" else m.group(kind), ""))
+            if m.group("attr"):
+                tests.append((m.group("op") or "has", m.group("attr").lower(), (m.group("val") or "").strip("\"'")))
+            elif m.group("tag"):
+                if m.group() != "*":
+                    tests.append(("tag", m.group("tag").lower(), ""))
+            else:
+                tests.append(("cls" if m.group("cls") else "id", m.group("cls") or m.group("id"), ""))
             at = m.end()
-        steps.append(tuple(tests))
-    if not steps:
-        raise ValueError("empty selector")
+        if child and not steps:
+            raise ValueError(f"selector not understood: {selector!r}")
+        steps.append((child, tuple(tests)))
+        child, open_ = False, False
+    if not steps or child or open_:
+        raise ValueError(f"selector not understood: {selector!r}")
     return tuple(steps)
 
 
@@ -198,28 +216,42 @@ def _passes(page: Page, element: int, tests: tuple[tuple[str, str, str], ...]) -
             continue
         attrs = page.attributes(element)
         if kind == "cls":
-            if name not in attrs.get("class", "").split():
-                return False
+            ok = name in attrs.get("class", "").split()
         elif kind == "id":
-            if attrs.get("id") != name:
-                return False
-        elif name not in attrs or kind == "is" and attrs[name] != value:
+            ok = attrs.get("id") == name
+        else:
+            held = attrs.get(name)
+            ok = held is not None and (
+                kind == "has"
+                or kind == "=" and held == value
+                or kind == "~=" and value in held.split()
+                or kind == "^=" and bool(value) and held.startswith(value)
+                or kind == "$=" and bool(value) and held.endswith(value)
+                or kind == "*=" and bool(value) and value in held
+            )
+        if not ok:
             return False
     return True
 
 
+def _matches(page: Page, element: int, steps: tuple[Step, ...]) -> bool:
+    """Whether an element matches the last step and its ancestors the steps before."""
+    child, tests = steps[-1]
+    if not _passes(page, element, tests):
+        return False
+    if len(steps) == 1:
+        return True
+    above = page.parent[element]
+    while above > 0:
+        if _matches(page, above, steps[:-1]):
+            return True
+        if child:
+            return False
+        above = page.parent[above]
+    return False
+
+
 def select(page: Page, selector: str) -> list[int]:
     """Elements that a selector matches, in document order."""
-    steps = compile_selector(selector)
-    out = []
-    for element in range(1, len(page.tags)):
-        if not _passes(page, element, steps[-1]):
-            continue
-        at, want = page.parent[element], len(steps) - 2
-        while want >= 0 and at > 0:
-            if _passes(page, at, steps[want]):
-                want -= 1
-            at = page.parent[at]
-        if want < 0:
-            out.append(element)
-    return out
+    alternatives = compile_selector(selector)
+    return [e for e in range(1, len(page.tags)) if any(_matches(page, e, steps) for steps in alternatives)]

@@ -39,7 +39,10 @@ def test_selectors():
     assert tag("main h1") == ["h1"] and tag('[role="main"]') == ["main"] and tag('main[role="main"] pre') == ["pre"]
     assert tag(".related[role='navigation'] a") == ["a", "a"] and tag("div.highlight pre") == ["pre"] and tag("#f") == ["footer"] and tag("body.b") == ["body"]
     assert tag("nav h1") == [] and tag("[href]") == ["a"] and tag("*")[0] == "html"
-    for bad in ("a > b", "a:first-child", "", "a,b"):
+    assert tag("main > h1") == ["h1"] and tag("body > h1") == [] and tag("body > main > h1 b") == ["b"]
+    assert tag("h1, footer") == ["h1", "footer"] and tag('a[href^="/"]') == ["a"] and tag("[class~=highlight]") == ["div"] and tag("[role$='tion']") == ["nav"]
+    assert tag('[class*="igh"]') == ["div"] and tag('nav[ role = "navigation" ]') == ["nav"]
+    for bad in ("> b", "a >", "a:first-child", "", "a,,b"):
         with pytest.raises(ValueError):
             compile_selector(bad)
 
