@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,8 @@ from .hashing import signed
 #: Hashed feature space; the last id is kept for the bias.
 SIZE = 1 << 16
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[(){}\[\]=;$#<>_]")
 _STOP = re.compile(r"[.!?。！？…][\"'”’»)]*$")
-_DIGITS = re.compile(r"\d+")
 _USER = re.compile(r"[\w.-]{3,20}: ")
 _RANDOM = re.compile(r"^(?=.*\d)[0-9a-z]{4,8}$")
 
@@ -70,10 +69,19 @@ class Block:
     element: int = 0
 
 
+#: All ASCII bytes but letters.
+_NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
 def line_key(source: str, text: str) -> int | None:
-    """Hash of a block's letters within its source; None if it has none."""
-    runs = _LETTERS.findall(text)
-    return xxhash.xxh3_64_intdigest(source + "\0" + " ".join(runs).lower()) if runs else None
+    """Hash of a block's letters (and other non-ASCII characters) within its source, case folded; None if it has none."""
+    letters = text.lower().encode("utf-8", "replace").translate(None, _NOT_LETTERS)
+    return xxhash.xxh3_64_intdigest(letters, _seed(source)) if letters else None
+
+
+@lru_cache(maxsize=4096)
+def _seed(source: str) -> int:
+    return xxhash.xxh3_64_intdigest(source)
 
 
 class Places:
@@ -275,9 +283,8 @@ class Features:
             w = words[i]
             if len(w) <= 30:  # longer blocks tell themselves by their shape
                 grams = set(w)
-                if len(w) <= 14:
+                if len(w) <= 8:
                     grams.update(map("\t".join, zip(w, w[1:])))
-                    grams.add("\n" + _DIGITS.sub("#", low[i]))
                 out.words += map(look_up, grams)
                 out.scale.append(1.5 / len(grams) ** 0.5)
             else:
@@ -302,16 +309,24 @@ def _runs(often: list[int], plain: list[bool], heads: list[bool]) -> list[str]:
     return out
 
 
+def _select(page: Page, selector: str) -> list[int]:
+    """As ``select``; a selector that is not understood fits nothing."""
+    try:
+        return select(page, selector)
+    except ValueError:
+        return []
+
+
 def label_page(blocks: list[Block], page: Page, selectors: list[str], exclude: list[str], often: list[int]) -> list[bool] | None:
     """Which blocks are the article's, by the source's own selectors; None if they do not fit the page."""
     h1 = next((e for e in range(1, len(page.tags)) if page.tags[e] == "h1"), 0)
     if not h1:
         return None
     up = set(page.path(h1))
-    if not any(set(select(page, s)) & up for s in selectors):
+    if not any(set(_select(page, s)) & up for s in selectors):
         return None
     home = page.parent[h1]
-    banned = {e for s in exclude for e in select(page, s)} - up
+    banned = {e for s in exclude for e in _select(page, s)} - up
     banned |= {e for e in range(1, len(page.tags)) if page.tags[e] in ("nav", "aside", "footer", "header", "button", "form", "noscript") and e not in up}
     below: list[int] = []
     for b in blocks:
@@ -393,7 +408,7 @@ def _keys(is_page: bool):
                 blocks = block_texts(text) if is_page else text.split("\n")
                 found = {k for b in blocks if (k := line_key(source, b)) is not None}
                 keys.extend(found)
-                sources.extend([xxhash.xxh3_64_intdigest(source)] * len(found))
+                sources.extend([_seed(source)] * len(found))
                 urls.extend([xxhash.xxh3_64_intdigest(url)] * len(found))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(c, np.uint64))) for c in (sources, keys, urls)], names=_KEYS.names)
 
@@ -433,7 +448,7 @@ def _site(source: str | None) -> str:
     return re.split(r"[_\W]", source or "")[0].lower()
 
 
-def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 80) -> tuple[Chain, Chain]:
+def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 120) -> tuple[Chain, Chain]:
     """(page field, line field) from (source, html, main selectors, exclude selectors) of sampled pages."""
     features, places, rng = Features(), Places(), np.random.default_rng(3)
     page_items, page_truth, line_items, line_truth = Records(), [], Records(), []
@@ -498,7 +513,7 @@ def _extract(kind: str, chain: Chain, often: Often):
     return run
 
 
-def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 80) -> DataFrame:
+def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 120) -> DataFrame:
     """(rec_kind, rec_id, block_no, text): the article's blocks of all pages and scraped texts, in order.
 
     ``pages`` has page_id, source_id, url, html, status_code, ``scraped`` has
