@@ -193,14 +193,15 @@ class InvertedLists:
         return near(F.col(column))
 
     def index(self, vectors: DataFrame) -> DataFrame:
-        """``vectors`` with its list number as ``list_id``."""
-        return vectors.withColumn("list_id", F.element_at(self._nearest("embedding", 1), 1))
+        """``vectors`` with its list number as ``list_id``, written once, so that searches read it."""
+        kept = materialize(vectors, "vectors")
+        return materialize(kept.withColumn("list_id", F.element_at(self._nearest("embedding", 1), 1)), "lists")
 
-    def search(self, indexed: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8, n_queries: int | None = None) -> DataFrame:
+    def search(self, indexed: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
         """As :func:`exact_top_k`, over the probed lists only."""
-        q, n = (queries, n_queries) if n_queries is not None else counted(queries, "queries")
-        visits = q.withColumn("list_id", F.explode(self._nearest("query_vector", probes)))
-        pairs = join_bounded(indexed, visits, "list_id", n * probes)
+        q, _ = counted(queries, "queries")
+        visits, n = counted(q.withColumn("list_id", F.explode(self._nearest("query_vector", probes))), "visits")
+        pairs = join_bounded(indexed, visits, "list_id", n)
         rows = pairs.select("query_id", "doc_id", inner_product(F.col("embedding"), F.col("query_vector")).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")

@@ -255,9 +255,9 @@ def dense_self_knn(spark: SparkSession, d: str) -> DataFrame:
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     """V5, V7: the same as dense_topk over inverted lists."""
     v = materialize(dense.normalize(_vectors(spark, d)), "unit")
-    queries, n = counted(v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), "queries")
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
     lists = dense.InvertedLists.fit(v, 64)
-    return lists.search(lists.index(v), queries, 10, 8, n)
+    return lists.search(lists.index(v), queries, 10, 8)
 
 
 @query
