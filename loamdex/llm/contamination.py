@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import WordHashes, flat_words, mix, words_of
+from .hashing import WordHashes, flat_words, mix, pieces, words_of
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
 
@@ -63,18 +63,38 @@ def _positions(length: int, samples: int, table: int) -> np.ndarray:
     return np.sort(np.concatenate([[0], more]))
 
 
-def _key(hashes: np.ndarray, starts: np.ndarray, length: int, samples: int, table: int) -> np.ndarray:
-    key = np.full(len(starts), length * 64 + table, np.uint64)
-    for row in embed(hashes, starts, length, _positions(length, samples, table), 0x9E37_79B9 + table):
-        key = mix(key) ^ row
-    return mix(key)
+#: Repetitions that sample the same walk.
+SHARED = 4
+
+
+def _keys(hashes: np.ndarray, starts: np.ndarray, length: int, samples: int, tables: int) -> Iterator[np.ndarray]:
+    """The combined hash of each repetition's sampled outputs, for all windows."""
+    for first in range(0, tables, SHARED):
+        wanted = {t: _positions(length, samples, t) for t in range(first, min(first + SHARED, tables))}
+        every = np.unique(np.concatenate(list(wanted.values())))
+        outputs = embed(hashes, starts, length, every, 0x9E37_79B9 + first)
+        for t, positions in wanted.items():
+            key = np.full(len(starts), length * 64 + t, np.uint64)
+            for row in np.searchsorted(every, positions):
+                key = mix(key) ^ outputs[row]
+            yield mix(key)
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
     """Word edit distance of a to b, or ``most`` + 1 if it is larger."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    head = 0
+    while head < n and head < m and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and tail < m - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    a, b = a[head : n - tail], b[head : m - tail]
+    if len(a) <= 1 and len(b) <= 1 or not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    if most < 2:  # both ends of what is left differ
         return most + 1
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -106,8 +126,7 @@ class ItemIndex:
                 flat += [cache[w] for w in self.words[item][k : k + length]]
             hashes, first = np.array(flat, np.uint64), np.array(starts, np.int64)
             found = []
-            for t in range(tables):
-                keys = _key(hashes, first, length, samples, t)
+            for keys in _keys(hashes, first, length, samples, tables):
                 order = np.argsort(keys, kind="stable")
                 found.append((keys[order], order, _bitmap(keys)))
             self.by_length[length] = (windows, found, np.unique(hashes[first]))
@@ -120,10 +139,11 @@ class ItemIndex:
         # the first output of every walk is the window's first word
         starts = starts[_member(hashes[starts], firsts)]
         seen = set()
-        for t, (keys, order, bitmap) in enumerate(found):
-            mine = _key(hashes, starts, length, self.samples, t)
-            for w in np.flatnonzero(bitmap[(mine >> np.uint64(40)).astype(np.int64)]):
-                a, b = np.searchsorted(keys, mine[w], "left"), np.searchsorted(keys, mine[w], "right")
+        for (keys, order, bitmap), mine in zip(found, _keys(hashes, starts, length, self.samples, self.tables)):
+            near = np.flatnonzero(bitmap[(mine >> np.uint64(64 - BITS)).astype(np.int64)])
+            first = np.searchsorted(keys, mine[near], "left")
+            last = np.searchsorted(keys, mine[near], "right")
+            for w, a, b in zip(near[last > first], first[last > first], last[last > first]):
                 for k in range(a, b):
                     hit = (int(starts[w]), int(order[k]))
                     if hit not in seen:
@@ -132,9 +152,13 @@ class ItemIndex:
                         yield text, hit[0] - int(offsets[text]), hit[1]
 
 
+#: Leading bits of a key that a first look at a table compares.
+BITS = 20
+
+
 def _bitmap(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 24, bool)
-    out[(keys >> np.uint64(40)).astype(np.int64)] = True
+    out = np.zeros(1 << BITS, bool)
+    out[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
     return out
 
 
@@ -181,7 +205,7 @@ def leaks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, cache = ItemIndex(held, passage, samples, tables), WordHashes()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hashes, offsets = flat_words(texts, cache)
             best: dict[tuple[int, int], int] = {}

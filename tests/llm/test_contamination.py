@@ -83,6 +83,25 @@ def test_edit_distance():
     assert edit_distance(a, list("sitting"), 3) == 3 and edit_distance(a, list("sitting"), 2) == 3 and edit_distance(a, a, 0) == 0
 
 
+def test_edit_distance_against_the_plain_recursion():
+    from functools import lru_cache
+
+    def plain(a, b):
+        @lru_cache(None)
+        def d(i, j):
+            if not i or not j:
+                return i + j
+            return min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+
+        return d(len(a), len(b))
+
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
+        for most in range(4):
+            assert edit_distance(a, b, most) == min(plain(tuple(a), tuple(b)), most + 1)
+
+
 def test_same_as_brute_force(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     items = spark.read.parquet(f"{tiny}/test_items.parquet")
