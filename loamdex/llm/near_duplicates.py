@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from loamdex.runtime import counted, join_bounded, materialize
 
-from .hashing import WordHashes, flat_words, minimum_by, mix, shingles, signed
+from .hashing import WordHashes, flat_words, minimum_by, mix, pieces, shingles, signed
 
 _DOCS = T.StructType(
     [
@@ -67,7 +67,7 @@ def _ring(segments: int, span: int, chain: int, width: int, least: int):
         mult = rng.integers(1, 2**32, size=k, dtype=np.uint32) | np.uint32(1)
         add = rng.integers(0, 2**32, size=k, dtype=np.uint32)
         follow = (chain - 1) * span
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = batch.column(0).to_numpy()
             hashes, offsets = flat_words(batch.column(1).to_pylist(), cache)
             long = np.diff(offsets) >= max(least, width)
@@ -115,7 +115,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hashes, offsets = flat_words(batch.column(1).to_pylist(), cache)
             sh, so = shingles(hashes, offsets, width)
             sets = [np.unique(sh[so[i] : so[i + 1]]) for i in range(batch.num_rows)]

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from loamdex.llm.hashing import WordHashes, flat_words, ramp, shingles, words_of
+from loamdex.llm.hashing import WordHashes, flat_words, pieces, ramp, shingles, words_of
 from loamdex.llm.near_duplicates import budget_for, duplicate_groups, pairs_of
 
 
@@ -88,6 +88,17 @@ def test_words_and_shingles():
     assert ramp(np.array([2, 0, 3])).tolist() == [0, 1, 0, 1, 2]
 
 
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * 10, None, "y" * 95, "", "z" * 200, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["i", "t"])
+    got = [b.column(1).to_pylist() for b in pieces([batch], 1, 100)]
+    assert [t for b in got for t in b] == texts and len(got) == 3
+    assert all(sum(len(t or "") for t in b[1:]) < 100 for b in got)
+    assert list(pieces([batch.slice(0, 0)], 1)) == []
+
+
 def test_vocabulary_is_forgotten_when_full():
     cache = WordHashes(3)
     values = [cache[w] for w in "abcdef"]
