@@ -12,6 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,40 @@ def get_session(app: str = "loamdex", cpus: str | int = "*", **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
-    return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers of a session, once an application.
+
+    Local workers that inherit the driver's path or folder find it already;
+    others get it from the driver as a zip file.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    inherited = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local") and (root in inherited or context.master.startswith("local[") and Path.cwd() == root):
+        return
+    folder = tempfile.mkdtemp(prefix="loamdex-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = f"{folder}/loamdex.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted((root / "loamdex").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(target)
 
 
 def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
@@ -48,6 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, since a machine-local folder would
     be unreadable for the other executors.
     """
+    ship(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
