@@ -160,5 +160,5 @@ ORACLES: dict[str, str] = {
         SELECT query_id, E'Contexto de la documentación:\\n\\n' || string_agg('[' || i || '] ' || title || E'\\nSource: ' || url || E'\\n\\n' || text, E'\\n\\n---\\n\\n' ORDER BY rank)
           || E'\\n\\n---\\n\\nPregunta: ' || any_value(query) AS content FROM b GROUP BY query_id""",
     "stream_index": f"WITH {_TOKS}, {_STATS} SELECT n AS total_documents, total::BIGINT AS total_terms, round(avgdl, 6) AS average_document_length FROM stats",
-    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

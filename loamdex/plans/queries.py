@@ -516,4 +516,5 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
 @query
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Arrivals by hour and kind, as the streaming window counts."""
-    return index_stream.windowed_counts(read(spark, d, "events"), "ts", "event_type")
+    got = index_stream.windowed_counts(read(spark, d, "events"), "ts", "event_type")
+    return got.withColumn("window_start", F.col("window_start").cast("string"))

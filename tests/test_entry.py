@@ -38,6 +38,6 @@ def plain(rows, columns):
 def test_query_and_oracle_agree(spark, tiny, duck, name):
     df = QUERIES[name](spark, tiny)
     rows = [tuple(r) for r in df.collect()]
-    if name in ORACLES and name != "event_windows":  # session time zones differ in how they print
+    if name in ORACLES:
         got = duck.execute(ORACLES[name])
         assert plain(rows, df.columns) == plain(got.fetchall(), [c[0] for c in got.description])
