@@ -2,23 +2,36 @@
 
 Every line becomes a set of *bands*.  Band 0 hashes the exact sequence of its
 letter runs, case folded (the limit of a locality-sensitive hash: only equal
-sequences meet).  The other bands hash min-hashes of the *masked* line, in
-which numbers vanish, months become one token and names (capitalised words
-inside a mixed-case line) another, so that bylines and notices that differ by
-name or date meet too.  A band value that is found in one source under
-``min_urls`` or more urls is a cluster of high document frequency.
+sequences meet).  The other bands hash the *masked* line, in which numbers
+vanish, months become one token and names (capitalised words inside a
+mixed-case line; not identifiers in capitals or camel case) another, so that
+bylines and notices that differ by name or date meet too: band 1 hashes the
+whole masked sequence, the bands after it min-hashes of its tokens.
+
+Bands only nominate.  A line is a near-duplicate of another if their masked
+sequences are an edit distance of at most a twentieth of the longer one apart
+(``similarity`` 0.95); it is repeated if the lines so near to it, its own
+included, are found in one source under ``min_urls`` or more urls.  Equal
+masked sequences need no further check; within a min-hash band that holds
+``min_urls`` urls the sequences are compared.  Lines with fewer than
+``least_runs`` words outside of the masks say too little and are no
+near-duplicates of anything.
 
 Plan: one scan writes the band hashes as a narrow table; band values are
 counted with map-side combining; only values with enough rows reach the
 distinct count over urls, which first groups by (value, url) so that a line
 found in a third of all documents is spread over all tasks; the surviving
 values, one per repeated line and source, are joined back by a broadcast
-when their count allows, else by a shuffled join.
+when their count allows, else by a shuffled join.  Masked sequences too short
+for a single edit get no min-hash bands.  The members of a surviving min-hash
+band are reduced to its different sequences, with fewer than ``min_urls`` urls
+each or a mark, before they are compared.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +60,7 @@ _SCHEMA = T.StructType(
         T.StructField("line_no", T.IntegerType()),
         T.StructField("url", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType(), False)),
+        T.StructField("tokens", T.ArrayType(T.LongType(), False)),
     ]
 )
 
@@ -55,20 +69,29 @@ def _masked(run: str, first: bool, mixed: bool) -> str:
     low = run.lower()
     if low in MONTHS:
         return "\x01date"
-    if mixed and not first and run[0].isupper():
+    if mixed and not first and run[0].isupper() and (len(run) == 1 or run[1:].islower()):
         return "\x01name"
     return low
 
 
-def _band_rows(bands: int, rows: int, least_runs: int):
-    """The mapper from (id, source, url, text) batches to band rows."""
+def _most_edits(length: int, similarity: float) -> int:
+    """Edits that leave masked sequences of at most ``length`` tokens near-duplicates."""
+    return int(length * (1 - similarity) + 1e-9)
+
+
+def _band_rows(bands: int, rows: int, least_runs: int, similarity: float):
+    """The mapper from (id, source, url, text) batches to band rows.
+
+    All lines have band 0; lines with enough words outside of the masks have
+    band 1, and those long enough for an edit the others and their tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         rng = np.random.default_rng(20_240_501)
         mult = rng.integers(1, 2**63, size=(bands * rows), dtype=np.uint64) | np.uint64(1)
         for batch in pieces(batches, 3):
-            ids, nos, urls, exact, srcs, toks, ends = [], [], [], [], [], [], [0]
+            ids, nos, urls, keys, srcs, toks, ends, long = [], [], [], [], [], [], [0], []
             for rid, source, url, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if not text or source is None or url is None:
                     continue
@@ -77,32 +100,146 @@ def _band_rows(bands: int, rows: int, least_runs: int):
                     runs = LETTERS.findall(line)
                     if len(runs) < least_runs:
                         continue
-                    exact.append(xxhash.xxh3_64_intdigest(source + "\0" + " ".join(runs).lower()))
+                    keys.append([xxhash.xxh3_64_intdigest(source + "\0" + " ".join(runs).lower())])
+                    ids.append(rid), nos.append(no), urls.append(where)
                     mixed = not line.isupper()
-                    toks.extend([cache[_masked(r, k == 0, mixed)] for k, r in enumerate(runs)])
-                    ends.append(len(toks))
-                    ids.append(rid), nos.append(no), urls.append(where), srcs.append(src)
+                    masked = [_masked(r, k == 0, mixed) for k, r in enumerate(runs)]
+                    if sum(m[0] != "\x01" for m in masked) < least_runs:
+                        continue
+                    keys[-1].append(xxhash.xxh3_64_intdigest(source + "\0\0" + " ".join(masked)))
+                    if _most_edits(len(masked), similarity):
+                        long.append(len(keys) - 1)
+                        toks.extend([cache[m] for m in masked])
+                        ends.append(len(toks))
+                        srcs.append(src)
             if not ids:
                 continue
-            out = np.empty((len(ids), bands + 1), np.uint64)
-            out[:, 0] = np.array(exact, np.uint64)
             flat, offsets = np.array(toks, np.uint64), np.array(ends, np.int64)
-            source_of = np.array(srcs, np.uint64)
-            for b in range(bands):
-                key = source_of + np.uint64(b + 1)
-                for r in range(rows):
-                    key = mix(key) ^ minimum_by(mix(flat * mult[b * rows + r]), offsets)
-                out[:, b + 1] = mix(key)
-            values = pa.array(signed(out.ravel()))
-            starts = pa.array(np.arange(0, values.__len__() + 1, bands + 1, dtype=np.int32))
+            if long:
+                source_of = np.array(srcs, np.uint64)
+                for b in range(bands):
+                    key = source_of + np.uint64(b + 1)
+                    for r in range(rows):
+                        key = mix(key) ^ minimum_by(mix(flat * mult[b * rows + r]), offsets)
+                    for at, value in zip(long, mix(key).tolist()):
+                        keys[at].append(value)
+            sizes = np.zeros(len(ids), np.int64)
+            sizes[long] = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(signed(np.array(urls, np.uint64))), pa.ListArray.from_arrays(starts, values)],
-                names=["id", "line_no", "url", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(signed(np.array(urls, np.uint64)))]
+                + [_lists(np.array([v for k in keys for v in k], np.uint64), [len(k) for k in keys]), _lists(flat, sizes)],
+                names=["id", "line_no", "url", "bands", "tokens"],
             )
 
     return run
 
 
+def _lists(values: np.ndarray, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(values)))
+
+
+def within(a: list, b: list, most: int) -> bool:
+    """Whether a and b are at most ``most`` insertions, deletions or replacements apart (furthest reach on each diagonal)."""
+    n, m = len(a), len(b)
+    reach: dict[int, int] = {}
+    for edits in range(most + 1):
+        ahead = {}
+        for d in range(-edits, edits + 1):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if edits else 0
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            ahead[d] = i
+        if ahead.get(m - n, -1) >= n:
+            return True
+        reach = ahead
+    return False
+
+
+#: Edits up to which shared stretches of words select what is compared in a band.
+STRETCHES = 3
+
+
+def near_pairs(forms: list[list[int]], similarity: float) -> Iterator[tuple[int, Iterator[int]]]:
+    """For each sequence, the numbers of the others that are near-duplicates of it, lazily.
+
+    Of two sequences ``most`` edits apart, cut the longer one into ``most`` + 1
+    stretches: one of them stands in the other, shifted by ``most`` at most.
+    """
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for i, form in enumerate(forms):
+        by_length[len(form)].append(i)
+    cuts = {n: [n * p // (k + 1) for p in range(k + 2)] for n in by_length if (k := _most_edits(n, similarity)) <= STRETCHES}
+    whole, shifted = defaultdict(list), defaultdict(list)
+
+    def stretches(n: int, form: list[int], shift: int) -> Iterator[tuple]:
+        for p, (a, b) in enumerate(zip(cuts[n], cuts[n][1:])):
+            for s in range(-shift, shift + 1):
+                if a + s >= 0 and b + s <= len(form):
+                    yield n, p, tuple(form[a + s : b + s])
+
+    for n in cuts:
+        k = _most_edits(n, similarity)
+        for i in by_length[n]:
+            for key in stretches(n, forms[i], 0):
+                whole[key].append(i)
+        for length in range(n - k, n + 1):
+            for i in by_length.get(length, ()):
+                for key in set(stretches(n, forms[i], k)):
+                    shifted[key].append(i)
+
+    def partners(i: int) -> Iterator[int]:
+        mine, size, seen = forms[i], len(forms[i]), {i}
+        pools = []
+        if size in cuts:  # the longer one, or of the same length
+            pools += [shifted[key] for key in stretches(size, mine, 0)]
+        for n in by_length:
+            k = _most_edits(max(n, size), similarity)
+            if abs(n - size) > k:
+                continue
+            if max(n, size) not in cuts:
+                pools.append(by_length[n])
+            elif n >= size:
+                pools += [whole.get(key, []) for key in set(stretches(n, mine, k))]
+        for pool in pools:
+            for j in pool:
+                if j not in seen:
+                    seen.add(j)
+                    if within(mine, forms[j], _most_edits(max(size, len(forms[j])), similarity)):
+                        yield j
+
+    for i in range(len(forms)):
+        yield i, partners(i)
+
+
+def _verified(min_urls: int, similarity: float):
+    """From the different sequences of one band to (form, url) of their near-duplicates, each form's own urls included.
+
+    A sequence stops once it has ``min_urls`` urls; a repeated near-duplicate, whose urls were left out, gives as many numbers instead.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        form, tokens, urls = (table.column(c).to_pylist() for c in ("form", "tokens", "urls"))
+        out_form, out_url = [], []
+        if not all(u is None for u in urls):
+            for i, near in near_pairs(tokens, similarity):
+                if urls[i] is None:
+                    continue
+                got = set(urls[i])
+                for j in near:
+                    got.update(range(min_urls) if urls[j] is None else urls[j])
+                    if len(got) >= min_urls:
+                        break
+                if len(got) > len(urls[i]):
+                    out_form += [form[i]] * len(got)
+                    out_url += got
+        return pa.table({"form": pa.array(out_form, pa.int64()), "url": pa.array(out_url, pa.int64())})
+
+    return run
+
+
 def repeated_lines(
     df: DataFrame,
     id_col: str = "id",
@@ -111,13 +248,14 @@ def repeated_lines(
     text_col: str = "text",
     min_urls: int = 12,
     least_runs: int = 3,
-    bands: int = 2,
+    bands: int = 6,
     rows: int = 3,
+    similarity: float = 0.95,
 ) -> DataFrame:
     """Lines that belong to a cluster found under ``min_urls`` urls of a source: (id, line_no, exact).
 
     ``exact`` tells whether the line's own letter sequence reaches the count;
-    else it only does together with near-duplicates.  Lines are separated by
+    else it only does together with verified near-duplicates.  Lines are separated by
     ``\\n`` and counted from 1, blank ones included.
 
     Null or empty text, and rows whose source or url is null, have no lines to
@@ -130,11 +268,24 @@ def repeated_lines(
     narrow = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(url_col).alias("url"), F.col(text_col).alias("text")
     )
-    lines = materialize(narrow.mapInArrow(_band_rows(bands, rows, least_runs), _SCHEMA), "lines")
+    lines = materialize(narrow.mapInArrow(_band_rows(bands, rows, least_runs, similarity), _SCHEMA), "lines")
     exploded = lines.select("id", "line_no", "url", F.posexplode("bands").alias("band", "key"))
     hot, n = counted(frequent_keys(exploded.select("key", "url"), "key", "url", min_urls).select("key"), "repeated")
-    found = join_bounded(exploded, hot, "key", n, "left_semi")
-    return found.groupBy("id", "line_no").agg(F.max(F.col("band") == 0).alias("exact"))
+    same = join_bounded(exploded.where("band < 2"), hot, "key", n, "left_semi").select("id", "line_no", (F.col("band") == 0).alias("exact"))
+    form = F.element_at("bands", 2)
+    members = lines.where(F.size("tokens") > 0).select(form.alias("form"), "url", "tokens", F.explode(F.slice("bands", 3, bands)).alias("key"))
+    members = join_bounded(members, hot, "key", n, "left_semi")
+    members = join_bounded(members, hot.select(F.col("key").alias("form"), F.lit(True).alias("settled")), "form", n, "left")
+    # a settled form needs no urls; the others have fewer than min_urls, so their sets are small
+    members = members.groupBy("key", "form").agg(
+        F.first("tokens").alias("tokens"), F.max("settled").alias("settled"), F.collect_set(F.when(F.col("settled").isNull(), F.col("url"))).alias("urls")
+    )
+    members = members.select("key", "form", "tokens", F.when(F.col("settled").isNull(), F.col("urls")).alias("urls"))
+    pairs = members.groupBy("key").applyInArrow(_verified(min_urls, similarity), "form long, url long").distinct()
+    near, n_near = counted(pairs.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_urls).select("form"), "near")
+    close = join_bounded(lines.where(F.size("bands") > 1).select("id", "line_no", form.alias("form")), near, "form", n_near, "left_semi")
+    found = same.unionByName(close.select("id", "line_no", F.lit(False).alias("exact")))
+    return found.groupBy("id", "line_no").agg(F.max("exact").alias("exact"))
 
 
 def without_lines(df: DataFrame, lines: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

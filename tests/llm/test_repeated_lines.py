@@ -76,3 +76,51 @@ def test_same_as_brute_force(spark, tiny):
     want = {p for k, u in urls.items() if len(u) >= 12 for p in at[k]}
     got = {(r["id"], r["line_no"]) for r in repeated_lines(df).where("exact").collect()}
     assert got == want
+
+
+def test_own_lines_stay_and_near_duplicates_go_as_by_brute_force(spark):
+    import random
+
+    from loamdex.llm.contamination import edit_distance
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    notice = "this page was written by the people of the project and may be copied under its terms by all who read it".split()
+    rows = []
+    for i in range(60):
+        edited = list(notice)
+        if 6 <= i < 30:
+            edited[rng.choice([3, 9])] = word()
+        elif i >= 30:
+            edited = [word() for _ in notice]
+        own = f"this {word()} is {word()} it {word()} {word()} and never {word()} the {word()} mount"
+        heading = f"{word().title()} {word().title()} {word().title()} {word().title()}"
+        rows.append((i, "s", f"u{i}", "\n".join([" ".join(edited), own, heading]), "t", "k", 1))
+    lines = {(r[0], n): line.split() for r in rows for n, line in enumerate(r[3].split("\n")[:2], 1)}
+    near = lambda a, b: edit_distance(a, b, m := max(len(a), len(b)) // 20) <= m
+    want = {p for p, a in lines.items() if len({q[0] for q, b in lines.items() if near(a, b)}) >= 12}
+    got = found(spark, rows)
+    assert len(want) >= 10 and set(got) == want and not any(got.values())
+
+
+def test_furthest_reach_and_stretches_against_plain_edit_distance():
+    import random
+
+    from loamdex.llm.contamination import edit_distance
+    from loamdex.llm.repeated_lines import near_pairs, within
+
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
+        for most in range(4):
+            assert within(a, b, most) == (edit_distance(a, b, most) <= most)
+    base, forms = {n: [rng.randrange(5) for _ in range(n)] for n in (10, 19, 21, 33, 45)}, []
+    for _ in range(200):
+        form = list(base[rng.choice(list(base))])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(form))
+            form[at : at + rng.randrange(2)] = [rng.randrange(5)] * rng.randrange(2)
+        forms.append(form)
+    got = {(i, j) for i, near in near_pairs(forms, 0.9) for j in near}
+    most = lambda a, b: max(len(a), len(b)) // 10
+    assert got == {(i, j) for i, a in enumerate(forms) for j, b in enumerate(forms) if i != j and edit_distance(a, b, most(a, b)) <= most(a, b)}
