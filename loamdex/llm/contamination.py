@@ -11,6 +11,12 @@ their combined hash is looked up in a table of the items' values.  Windows
 without an edit always meet; the number of repetitions sets the recall for
 windows with up to ``edits`` edits.
 
+The first word is always sampled, so that few windows of the corpus need a
+walk.  Passages whose first words are edited are found by what follows: each
+window is also indexed without its first 1 .. ``edits`` words, with as many
+edits fewer left for the rest.  At the end of a text windows may be shorter by
+the number of edits.
+
 A hit is verified on the words themselves by edit distance; with ``edits`` = 0
 that is equality of the words.
 """
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_
 MOST_ITEMS = 100_000
 
 
-def embed(hashes: np.ndarray, starts: np.ndarray, length: int, positions: np.ndarray, seed: int) -> np.ndarray:
+def embed(hashes: np.ndarray, starts: np.ndarray, length: int | np.ndarray, positions: np.ndarray, seed: int) -> np.ndarray:
     """CGK outputs at the given (sorted) positions of the windows that begin at ``starts``: (positions, windows).
 
     The step bit of a word comes from its seeded hash, so equal words walk
@@ -67,12 +74,12 @@ def _positions(length: int, samples: int, table: int) -> np.ndarray:
 SHARED = 4
 
 
-def _keys(hashes: np.ndarray, starts: np.ndarray, length: int, samples: int, tables: int) -> Iterator[np.ndarray]:
-    """The combined hash of each repetition's sampled outputs, for all windows."""
+def _keys(hashes: np.ndarray, starts: np.ndarray, length: int, samples: int, tables: int, sizes: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The combined hash of each repetition's sampled outputs, for all windows; ``sizes`` are the words of shorter ones."""
     for first in range(0, tables, SHARED):
         wanted = {t: _positions(length, samples, t) for t in range(first, min(first + SHARED, tables))}
         every = np.unique(np.concatenate(list(wanted.values())))
-        outputs = embed(hashes, starts, length, every, 0x9E37_79B9 + first)
+        outputs = embed(hashes, starts, length if sizes is None else sizes, every, 0x9E37_79B9 + first)
         for t, positions in wanted.items():
             key = np.full(len(starts), length * 64 + t, np.uint64)
             for row in np.searchsorted(every, positions):
@@ -107,39 +114,61 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return min(last[-1], most + 1)
 
 
+@dataclass(frozen=True)
+class Part:
+    """The windows of one length without their first ``cut`` words, of which ``edits`` may be edited."""
+
+    length: int
+    cut: int
+    edits: int
+    samples: int
+    windows: list[tuple[int, int]]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    firsts: np.ndarray
+
+
 class ItemIndex:
     """The windows of all items and, for each repetition, the sorted keys that point to them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], passage: int, samples: int, tables: int):
-        self.passage, self.samples, self.tables = passage, samples, tables
+    def __init__(self, items: list[tuple[int, str | None]], passage: int, samples: int, tables: int, edits: int = 0):
         self.words = {i: w for i, text in items if (w := words_of(text))}
         by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item, words in sorted(self.words.items()):
             length = min(passage, len(words))
             by_length[length] += [(item, k) for k in range(len(words) - length + 1)]
         cache = WordHashes()
-        self.by_length = {}
-        for length, windows in sorted(by_length.items()):
-            flat, starts = [], []
-            for item, k in windows:
-                starts.append(len(flat))
-                flat += [cache[w] for w in self.words[item][k : k + length]]
-            hashes, first = np.array(flat, np.uint64), np.array(starts, np.int64)
-            found = []
-            for keys in _keys(hashes, first, length, samples, tables):
-                order = np.argsort(keys, kind="stable")
-                found.append((keys[order], order, _bitmap(keys)))
-            self.by_length[length] = (windows, found, np.unique(hashes[first]))
-
-    def hits(self, hashes: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+        self.parts: list[Part] = []
+        for whole, windows in sorted(by_length.items()):
+            most = min(edits, whole - 1) if whole == passage else 0
+            for cut in range(most + 1):
+                length, left = whole - cut, most - cut
+                flat, starts = [], []
+                for item, k in windows:
+                    starts.append(len(flat))
+                    flat += [cache[w] for w in self.words[item][k + cut : k + whole]]
+                hashes, first = np.array(flat, np.uint64), np.array(starts, np.int64)
+                # in few words an edit meets most of many samples; without edits one repetition finds all
+                drawn = min(samples, max(3, length // 2)) if left else samples
+                found = []
+                for keys in _keys(hashes, first, length, drawn, tables if left else 1):
+                    order = np.argsort(keys, kind="stable")
+                    found.append((keys[order], order, _bitmap(keys)))
+                self.parts.append(Part(length, cut, left, drawn, windows, found, np.unique(hashes[first])))
+        self.firsts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(part.firsts for part in self.parts)]))
+
+    def begins(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words that begin a window of any part, and the ends of their texts."""
+        starts = np.flatnonzero(_member(hashes, self.firsts)) if len(self.firsts) else np.zeros(0, np.int64)
+        return starts, offsets[np.searchsorted(offsets, starts, "right")] if len(starts) else starts
+
+    def hits(self, hashes: np.ndarray, offsets: np.ndarray, part: Part, begins: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """(text, word position, window number) where a text's window meets an item's in some repetition."""
-        windows, found, firsts = self.by_length[length]
-        counts = np.maximum(np.diff(offsets) - length + 1, 0)
-        starts = np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        starts, ends = begins
         # the first output of every walk is the window's first word
-        starts = starts[_member(hashes[starts], firsts)]
+        kept = _member(hashes[starts], part.firsts) & (ends - starts >= part.length - part.edits)
+        starts, sizes = starts[kept], np.minimum(part.length, (ends - starts)[kept]) if part.edits else None
         seen = set()
-        for (keys, order, bitmap), mine in zip(found, _keys(hashes, starts, length, self.samples, self.tables)):
+        for (keys, order, bitmap), mine in zip(part.found, _keys(hashes, starts, part.length, part.samples, len(part.found), sizes)):
             near = np.flatnonzero(bitmap[(mine >> np.uint64(64 - BITS)).astype(np.int64)])
             first = np.searchsorted(keys, mine[near], "left")
             last = np.searchsorted(keys, mine[near], "right")
@@ -189,7 +218,7 @@ def leaks(
 
     A passage is ``passage`` consecutive words of the item, or all its words if
     it has fewer, with at most ``edits`` words inserted, deleted or replaced in
-    the text.  ``edits`` in the result is the smallest number needed.
+    the text; shorter items are only looked for as they are.  ``edits`` in the result is the smallest number found.
 
     Null, empty and wordless texts hold nothing, and wordless items are in
     nothing.  An item stored under two ids leaks under both, a text stored
@@ -200,30 +229,30 @@ def leaks(
     rows = items.select(F.col(item_col).cast("long"), F.col(item_text_col)).limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items; split them into blocks")
-    tables = tables or (1 if edits == 0 else 8 * edits)
+    tables = tables or (1 if edits == 0 else 12 * edits)
     held = [(r[0], r[1]) for r in rows if r[0] is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cache = ItemIndex(held, passage, samples, tables), WordHashes()
+        index, cache = ItemIndex(held, passage, samples, tables, edits), WordHashes()
         for batch in pieces(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hashes, offsets = flat_words(texts, cache)
             best: dict[tuple[int, int], int] = {}
             split: dict[int, list[str]] = {}
-            for length, (windows, _, _) in index.by_length.items():
-                for text, at, number in index.hits(hashes, offsets, length):
-                    item, k = windows[number]
+            begins = index.begins(hashes, offsets)
+            for part in index.parts:
+                for text, at, number in index.hits(hashes, offsets, part, begins):
+                    item, k = part.windows[number]
                     pair = (text, item)
-                    if best.get(pair) == 0:
+                    if best.get(pair, edits + 1) <= part.cut:
                         continue
                     if text not in split:
                         split[text] = words_of(texts[text])
-                    want = index.words[item][k : k + length]
-                    most = edits if length == passage else 0
-                    for stretch in range(-most, most + 1):
-                        d = edit_distance(split[text][at : at + length + stretch], want, most)
-                        if d <= most and d < best.get(pair, most + 1):
-                            best[pair] = d
+                    want = index.words[item][k + part.cut : k + part.cut + part.length]
+                    for stretch in range(-part.edits, part.edits + 1):
+                        d = edit_distance(split[text][at : at + part.length + stretch], want, part.edits)
+                        if d <= part.edits and d + part.cut < best.get(pair, edits + 1):
+                            best[pair] = d + part.cut
             if best:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[t] for t, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array(list(best.values()), pa.int32())],

@@ -108,3 +108,24 @@ def test_same_as_brute_force(spark, tiny):
     got = {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()}
     pairs = lambda df, k: [(r[k], r["text"]) for r in df.select(k, "text").collect()]
     assert got == brute(pairs(docs, "doc_id"), pairs(items, "item_id"))
+
+
+def test_edits_of_the_ends_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    items, docs, ends = [], [], set()
+    for length in (12, 12, 12):
+        for at in range(length):
+            for change in ([], ["edit"]):
+                for before, after in ((0, 0), (0, 5), (5, 0), (5, 5)):
+                    w, n = [word() for _ in range(length)], len(items)
+                    text = [word() for _ in range(before)] + w[:at] + change + w[at + 1 :] + [word() for _ in range(after)]
+                    items.append((n, " ".join(w), 0))
+                    docs.append((n, " ".join(text), 0, ""))
+                    if at == 0:
+                        ends.add((n, n))
+    got = run(spark, docs, items, edits=1)
+    assert set(got) <= {(n, n) for n in range(len(items))} and set(got.values()) == {1}
+    assert ends <= set(got)
+    by_length = {m: [(n, n) in got for n, item, _ in items if len(item.split()) == m] for m in (12,)}
+    assert all(sum(hit) >= 0.9 * len(hit) for hit in by_length.values())
