@@ -114,6 +114,10 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return min(last[-1], most + 1)
 
 
+#: Words from which on an item shorter than a passage is also looked for with edits.
+LEAST_EDITED = 4
+
+
 @dataclass(frozen=True)
 class Part:
     """The windows of one length without their first ``cut`` words, of which ``edits`` may be edited."""
@@ -139,7 +143,7 @@ class ItemIndex:
         cache = WordHashes()
         self.parts: list[Part] = []
         for whole, windows in sorted(by_length.items()):
-            most = min(edits, whole - 1) if whole == passage else 0
+            most = min(edits, whole - 1) if whole == passage or whole >= LEAST_EDITED else 0
             for cut in range(most + 1):
                 length, left = whole - cut, most - cut
                 flat, starts = [], []
@@ -218,7 +222,9 @@ def leaks(
 
     A passage is ``passage`` consecutive words of the item, or all its words if
     it has fewer, with at most ``edits`` words inserted, deleted or replaced in
-    the text; shorter items are only looked for as they are.  ``edits`` in the result is the smallest number found.
+    the text; items of fewer than ``LEAST_EDITED`` words (and than ``passage``)
+    are only looked for as they are, since so few words say too little with
+    one of them edited.  ``edits`` in the result is the smallest number found.
 
     Null, empty and wordless texts hold nothing, and wordless items are in
     nothing.  An item stored under two ids leaks under both, a text stored

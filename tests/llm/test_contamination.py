@@ -110,11 +110,11 @@ def test_same_as_brute_force(spark, tiny):
     assert got == brute(pairs(docs, "doc_id"), pairs(items, "item_id"))
 
 
-def test_edits_of_the_ends_against_brute_force(spark):
+def test_edits_of_the_ends_and_of_short_items_against_brute_force(spark):
     rng = random.Random(9)
     word = lambda: f"q{rng.randrange(10**6)}"
     items, docs, ends = [], [], set()
-    for length in (12, 12, 12):
+    for length in (4, 5, 7, 9, 11, 12, 12, 12):
         for at in range(length):
             for change in ([], ["edit"]):
                 for before, after in ((0, 0), (0, 5), (5, 0), (5, 5)):
@@ -127,5 +127,7 @@ def test_edits_of_the_ends_against_brute_force(spark):
     got = run(spark, docs, items, edits=1)
     assert set(got) <= {(n, n) for n in range(len(items))} and set(got.values()) == {1}
     assert ends <= set(got)
-    by_length = {m: [(n, n) in got for n, item, _ in items if len(item.split()) == m] for m in (12,)}
+    by_length = {m: [(n, n) in got for n, item, _ in items if len(item.split()) == m] for m in (4, 5, 7, 9, 11, 12)}
     assert all(sum(hit) >= 0.9 * len(hit) for hit in by_length.values())
+    few = run(spark, [(1, "one two four", 0, ""), (2, "one two three", 0, "")], [(1, "one two three", 0)], edits=1)
+    assert few == {(2, 1): 0}
