@@ -29,21 +29,19 @@ class Report:
     vectors: int
 
 
-def _index(store: Store, fresh: DataFrame, load_encoder, settings: Settings) -> tuple[int, int]:
-    """Index new chunks in both indexes with one commit each; chunks without tokens stay out of the lexical one."""
+def _index(store: Store, fresh: DataFrame, load_encoder, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Index new chunks in both indexes with one commit each; chunks without tokens stay out of the lexical one.  The doc_id of each that was added."""
     texts = fresh.where(~blank(F.col("text"))).select(F.col("chunk_id").alias("doc_id"), "text")
     toks = materialize(lexical.tokenized(texts, "doc_id", "text"), "tokens")
-    indexed = toks.count()
-    if indexed:
+    if toks.count():
         store.write_segment(lexical.term_counts(toks), lexical.doc_lengths(toks))
         store.merge_segments(settings.max_segments)
     new_vectors = texts.join(store.vectors().select("doc_id"), "doc_id", "left_anti")
     encoded = materialize(dense.encode(new_vectors, "text", load_encoder, settings.dimension).select("doc_id", "embedding"), "encoded")
-    vectors = encoded.count()
-    if vectors:
+    if encoded.count():
         store.save_vectors(encoded)
         store.save_metadata(model=settings.model, dimension=settings.dimension, vector_count=store.vectors().count())
-    return indexed, vectors
+    return toks.select("doc_id"), encoded.select("doc_id")
 
 
 def _save_new(store: Store, chunks: DataFrame) -> tuple[DataFrame, int]:
@@ -55,17 +53,43 @@ def _save_new(store: Store, chunks: DataFrame) -> tuple[DataFrame, int]:
     return fresh, n
 
 
-def ingest_source(store: Store, sources: DataFrame, pages: DataFrame, source_id: str, load_encoder: Callable, settings: Settings | None = None) -> Report:
-    """Crawl, scrape, chunk, store and index one source; chunks already stored are left alone, so a second run adds nothing."""
+def _by_source(rows: DataFrame) -> dict[str, int]:
+    """Rows of each source; there are as many as sources in the catalog."""
+    return {r["source_id"]: r["count"] for r in rows.groupBy("source_id").count().collect()}
+
+
+def ingest_sources(
+    store: Store, sources: DataFrame, pages: DataFrame, load_encoder: Callable, settings: Settings | None = None, seeds: DataFrame | None = None
+) -> list[Report]:
+    """Crawl, scrape, chunk, store and index all given sources in one batch: a report for each, in order of source_id.
+
+    Crawls start at ``seeds`` (source_id, seed) if given, else at the sources'
+    own.  Chunks already stored are left alone, so a second run adds nothing.
+    """
     settings = (settings or Settings()).check()
-    source = get_source(sources, source_id)
-    found = materialize(crawl.crawl(source, pages), "crawled")
-    docs = materialize(scrape.scrape(found, source), "scraped")
+    found = materialize(crawl.crawl(sources, pages, seeds), "crawled")
+    docs = materialize(scrape.scrape(found, sources), "scraped")
     windows = chunking.chunk_documents(docs, settings.chunk_words, settings.overlap_words)
     chunks = materialize(windows.select("chunk_id", "source_id", "url", "title", "breadcrumb", "chunk_index", F.col("chunk_text").alias("text")), "chunks")
     fresh, n = _save_new(store, chunks)
-    indexed, vectors = _index(store, fresh, load_encoder, settings) if n else (0, 0)
-    return Report(source_id, found.count(), docs.count(), chunks.count(), n, indexed, vectors)
+    counts = [_by_source(rows) for rows in (found, docs, chunks, fresh)]
+    owner = fresh.select("source_id", F.col("chunk_id").alias("doc_id"))
+    counts += [_by_source(owner.join(added, "doc_id")) for added in _index(store, fresh, load_encoder, settings)] if n else [{}, {}]
+    names = sorted(r["source_id"] for r in sources.select("source_id").distinct().collect())
+    return [Report(name, *(c.get(name, 0) for c in counts)) for name in names]
+
+
+def ingest_source(
+    store: Store,
+    sources: DataFrame,
+    pages: DataFrame,
+    source_id: str,
+    load_encoder: Callable,
+    settings: Settings | None = None,
+    seeds: DataFrame | None = None,
+) -> Report:
+    """:func:`ingest_sources` for one source of the catalog."""
+    return ingest_sources(store, get_source(sources, source_id), pages, load_encoder, settings, seeds)[0]
 
 
 def upload(store: Store, files: DataFrame, source_id: str, load_encoder: Callable, settings: Settings | None = None) -> Report:
@@ -79,7 +103,7 @@ def upload(store: Store, files: DataFrame, source_id: str, load_encoder: Callabl
     windows = chunking.chunk_documents(rows, settings.chunk_words, settings.overlap_words)
     chunks = materialize(windows.select("chunk_id", "source_id", "url", "title", "breadcrumb", "chunk_index", F.col("chunk_text").alias("text")), "chunks")
     fresh, n = _save_new(store, chunks)
-    indexed, vectors = _index(store, fresh, load_encoder, settings) if n else (0, 0)
+    indexed, vectors = (added.count() for added in _index(store, fresh, load_encoder, settings)) if n else (0, 0)
     return Report(source_id, docs.count(), docs.count(), chunks.count(), n, indexed, vectors)
 
 

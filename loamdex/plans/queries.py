@@ -422,12 +422,15 @@ def crawl_reach(spark: SparkSession, d: str) -> DataFrame:
     return crawl.reach(seeds, edges.select("src", "dst"), 6).select("node", F.col("depth").cast("long").alias("depth"))
 
 
+def _first_pages(pages: DataFrame) -> DataFrame:
+    return pages.where("crawl_depth = 0").select("source_id", F.col("url").alias("seed"))
+
+
 @query
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
     """A crawl of every source over the page table, from the pages that an earlier crawl found first."""
     pages = read(spark, d, "crawled_pages")
-    seeds = pages.where("crawl_depth = 0").select("source_id", F.col("url").alias("seed"))
-    return crawl.crawl(read(spark, d, "source_configs"), pages, seeds).select("source_id", "url", "depth")
+    return crawl.crawl(read(spark, d, "source_configs"), pages, _first_pages(pages)).select("source_id", "url", "depth")
 
 
 @query
@@ -491,12 +494,11 @@ def _fresh_store(spark: SparkSession) -> Store:
 
 @query
 def ingest_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """One source from pages to both indexes; the counts of the run and of a second one."""
+    """Every source from pages to both indexes, crawled as in crawl_pages; the counts of the run and of a second one."""
     store, settings = _fresh_store(spark), Settings(dimension=64)
     sources, pages = read(spark, d, "source_configs"), read(spark, d, "crawled_pages")
-    name = sources.agg(F.min("source_id")).first()[0]
-    made = [ingest.ingest_source(store, sources, pages, name, dense.hashing_encoder(64), settings) for _ in range(2)]
-    rows = [(i, r.source_id, r.pages, r.documents, r.chunks, r.new_chunks, r.lexical, r.vectors) for i, r in enumerate(made, 1)]
+    made = [ingest.ingest_sources(store, sources, pages, dense.hashing_encoder(64), settings, _first_pages(pages)) for _ in range(2)]
+    rows = [(i, r.source_id, r.pages, r.documents, r.chunks, r.new_chunks, r.lexical, r.vectors) for i, run in enumerate(made, 1) for r in run]
     return spark.createDataFrame(rows, "run int, source_id string, pages long, documents long, chunks long, new_chunks long, lexical long, vectors long")
 
 

@@ -170,3 +170,20 @@ def test_settings(tmp_path, monkeypatch):
     monkeypatch.setenv("LOAMDEX_RRF_K", "x")
     with pytest.raises(ValueError):
         Settings.from_environment()
+
+
+def test_pipeline_fills_both_indexes_from_all_sources_and_a_second_run_adds_nothing(spark, tiny):
+    from loamdex.plans.queries import crawl_pages, ingest_pipeline
+
+    rows = ingest_pipeline(spark, tiny).collect()
+    first, second = ([r for r in rows if r["run"] == n] for n in (1, 2))
+    sources = {r["source_id"] for r in spark.read.parquet(f"{tiny}/source_configs.parquet").collect()}
+    assert [{r["source_id"] for r in run} for run in (first, second)] == [sources, sources]
+    reached = {r["source_id"]: r["count"] for r in crawl_pages(spark, tiny).groupBy("source_id").count().collect()}
+    assert {r["source_id"]: r["pages"] for r in first if r["pages"]} == reached
+    for name in ("pages", "documents", "chunks", "new_chunks", "lexical", "vectors"):
+        assert sum(r[name] for r in first) > 0
+    assert all(r["lexical"] <= r["new_chunks"] == r["vectors"] for r in first)
+    for a, b in zip(first, second):
+        assert (b["pages"], b["documents"], b["chunks"]) == (a["pages"], a["documents"], a["chunks"])
+        assert (b["new_chunks"], b["lexical"], b["vectors"]) == (0, 0, 0)
