@@ -1,25 +1,34 @@
 """The most similar vectors of every vector: inverted lists with product-quantised residuals.
 
-*Training.*  Coarse centroids and the codebooks of the residuals are fitted on
-a sample of at most ``sample`` vectors, chosen by a hash of the id.  Everything
-else covers all vectors.
-
-*Index.*  Each vector goes to its nearest centroid's list and keeps a code of
-``parts`` bytes for its residual.
+*Training.*  The centroids of the lists are fitted on two levels: tops by
+k-means on a sample of at most ``sample`` vectors, chosen by a hash of the id,
+and each top's lists by k-means on the sample's vectors of that top, so that a
+crowded place gets many tops and thus many lists.  The codebooks of the
+residuals are fitted on at most ``book_sample`` of them.  Everything else
+covers all vectors.
+
+*Index.*  The number of lists grows with the number of vectors, so that a list
+holds ``TARGET`` vectors on average and a query meets a constant number of
+codes.  One scan gives each vector its list, a code of ``parts`` bytes for its
+residual, and its numbers in half precision.
 
 *Search.*  All vectors are queries.  The queries of one list share its
-``probes`` nearest lists, so the unit of work is a block of queries of one list
-together with the codes of those lists: codes (a few dozen bytes) are shuffled
-to the queries, not vectors.  Each query looks its candidates up in asymmetric
-distance tables (query part against codebook) and keeps the ``rerank`` best.
-
-*Rerank.*  The vectors of a unit's distinct candidates are joined once a unit
-and compared exactly.
-
-Lists are cut into query blocks and code slices of bounded size, so that a
-unit stays small however large a list grows; a query that meets several slices
-keeps ``rerank`` candidates of each.  Equal vectors are collapsed first, so
-that a vector stored very often does not fill a list, and expanded at the end.
+``probes`` nearest lists.  The lists of a top are packed into *units* of work
+of up to ``BLOCK`` queries; a unit gets its queries in half precision and the
+codes of all lists it probes, once each.  A list's queries are looked up in
+asymmetric distance tables (query part against codebook), laid out by code so
+that a code adds one contiguous row for the whole block of queries.  A query
+keeps what may still be among its k best: candidates within a margin of its
+k-th, four standard deviations of the tables' error as seen on the sample, and
+``rerank`` at most.
+
+*Rerank.*  The full vectors of a unit's queries and distinct candidates are
+joined once a unit and compared exactly.
+
+A crowded list is cut into several units, and the codes of a unit into slices
+of bounded size; a query that meets several slices keeps candidates of each.
+Equal vectors are collapsed first, so that a vector stored very often does not
+fill a list, and expanded at the end.
 """
 
 from __future__ import annotations
@@ -30,14 +39,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamdex.runtime import counted, join_bounded, materialize
 
-#: Queries and codes of one unit of work.
-BLOCK, SLICE = 512, 100_000
+#: Vectors of a list on average; queries and codes of a unit of work; queries that share one pass over the codes.
+TARGET, BLOCK, SLICE, TOGETHER = 256, 2048, 100_000, 256
 
 
 def vectors_of(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -76,39 +86,110 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Centroids, residual codebooks (parts, codes, width) and each list's nearest lists."""
+    """Tops, centroids of all lists in order of their top, residual codebooks (parts, codes, width), each list's nearest lists, and the tables' error."""
 
+    tops: np.ndarray
+    first: np.ndarray
     centres: np.ndarray
     books: np.ndarray
     probes: np.ndarray
+    error: float = 0.0
+
+    #: Tops in which a vector's nearest list is looked for.
+    NEAR = 4
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, parts: int, probes: int, rounds: int = 8, seed: int = 11) -> "Index":
+    def fit(cls, x: np.ndarray, lists: int, parts: int, probes: int, rounds: int = 8, book_sample: int = 16_384, seed: int = 11) -> "Index":
         rng = np.random.default_rng(seed)
-        centres = _kmeans(x, lists, rounds, rng)
-        rest = (x - centres[_nearest(x, centres)]).reshape(len(x), parts, -1)
-        if len(rest) > 8192:
-            rest = rest[rng.choice(len(rest), 8192, replace=False)]
-        codes = min(256, len(rest))
-        books = np.stack([_kmeans(np.ascontiguousarray(rest[:, p]), codes, 5, rng) for p in range(parts)])
-        near = np.argsort(_apart(centres), axis=1, kind="stable")[:, : min(probes, lists)]
-        return cls(centres, books, near)
+        lists = max(1, min(lists, len(x)))
+        n_tops = min(lists, 2 * math.isqrt(lists - 1) + 2) if lists > 3 else lists
+        tops = _kmeans(x, n_tops, rounds, rng)
+        near = _nearest(x, tops)
+        below = []
+        for t in range(n_tops):
+            mine = x[near == t]
+            # a top's share of the lists goes by its share of the sample
+            below.append(_kmeans(mine, max(1, min(len(mine), round(lists * len(mine) / len(x)))), 4, rng) if len(mine) else tops[t : t + 1])
+        out = cls(tops, np.concatenate([[0], np.cumsum([len(b) for b in below])]), np.concatenate(below), np.zeros((parts, 1, x.shape[1] // parts), np.float32), np.zeros((0, 0)))
+        home = out.home(x)
+        rest = (x - out.centres[home]).reshape(len(x), parts, -1)
+        taken = rest if len(rest) <= book_sample else rest[rng.choice(len(rest), book_sample, replace=False)]
+        out.books = np.stack([_kmeans(np.ascontiguousarray(taken[:, p]), min(256, len(taken)), 5, rng) for p in range(parts)])
+        out.probes = out._probes(min(probes, len(out.centres)))
+        out.error = out._error(x, home, rng)
+        return out
+
+    def _probes(self, count: int) -> np.ndarray:
+        """The nearest lists of each list, from the tops that are nearest to it and hold enough lists."""
+        sizes, out = np.diff(self.first), np.empty((len(self.centres), count), np.int32)
+        for t in range(len(self.tops)):
+            mine = self.centres[self.first[t] : self.first[t + 1]]
+            order = np.argsort(((self.tops - mine.mean(0)) ** 2).sum(1), kind="stable")
+            enough = max(2 * self.NEAR, int(np.searchsorted(np.cumsum(sizes[order]), 2 * count)) + 1)
+            pool = np.concatenate([np.arange(self.first[o], self.first[o + 1]) for o in order[:enough]])
+            c = self.centres[pool]
+            apart = (c * c).sum(1) - 2 * mine @ c.T
+            apart[pool[None, :] == np.arange(self.first[t], self.first[t + 1])[:, None]] = -np.inf  # its own list first
+            out[self.first[t] : self.first[t + 1]] = pool[np.argsort(apart, axis=1, kind="stable")[:, :count]]
+        return out
+
+    def _error(self, x: np.ndarray, home: np.ndarray, rng: np.random.Generator) -> float:
+        """Standard deviation of table look-ups between vectors of one list."""
+        order = np.argsort(home, kind="stable")
+        left, right = order[:-1], order[1:]
+        same = np.flatnonzero(home[left] == home[right])
+        if len(same) < 2:
+            return 0.0
+        if len(same) > 4096:
+            same = rng.choice(same, 4096, replace=False)
+        a, b = x[left[same]], x[right[same]]
+        where, codes = self.encode(b)
+        made = self.centres[where] + np.stack([self.books[p][codes[:, p]] for p in range(len(self.books))], axis=1).reshape(len(b), -1)
+        return float(((made - b) * a).sum(1).std())
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The nearest list of each vector, looked for in its nearest tops."""
+        near = min(self.NEAR, len(self.tops))
+        half = (self.tops * self.tops).sum(1) / 2
+        below = (self.centres * self.centres).sum(1) / 2
+        out = np.zeros(len(x), np.int32)
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            score = part @ self.tops.T - half
+            tops = np.argpartition(-score, near - 1, axis=1)[:, :near]
+            best = np.full(len(part), -np.inf, np.float32)
+            order = np.argsort(tops.ravel(), kind="stable")
+            bounds = np.searchsorted(tops.ravel()[order], np.arange(len(self.tops) + 1))
+            for t in np.flatnonzero(np.diff(bounds)):
+                rows = order[bounds[t] : bounds[t + 1]] // near
+                a, b = self.first[t], self.first[t + 1]
+                here = part[rows] @ self.centres[a:b].T - below[a:b]
+                top = here.argmax(1)
+                value = here[np.arange(len(rows)), top]
+                won = value > best[rows]
+                best[rows[won]] = value[won]
+                out[at + rows[won]] = a + top[won]
+        return out
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of each vector."""
-        home = _nearest(x, self.centres)
+        home = self.home(x)
         rest = (x - self.centres[home]).reshape(len(x), len(self.books), -1)
         return home, np.stack([_nearest(np.ascontiguousarray(rest[:, p]), b) for p, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """Inner product of each part of each query with each code: (queries, parts, codes)."""
-        parts, codes, width = self.books.shape
-        return np.einsum("qpw,pcw->qpc", x.reshape(len(x), parts, width), self.books, optimize=True)
+        """Inner product of each part of each query with each code: (parts, codes, queries)."""
+        parts, _, width = self.books.shape
+        return np.stack([self.books[p] @ x[:, p * width : (p + 1) * width].T for p in range(parts)])
 
-
-def _apart(x: np.ndarray) -> np.ndarray:
-    sq = (x * x).sum(1)
-    return sq[:, None] - 2 * x @ x.T + sq
+    def scores(self, x: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Approximate inner products of queries with coded vectors: (codes, queries)."""
+        table = self.tables(x)
+        used, number = np.unique(lists, return_inverse=True)
+        out = (self.centres[used] @ x.T)[number]
+        for p in range(len(table)):
+            out += table[p][codes[:, p]]
+        return out
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -135,10 +216,12 @@ def nearest(
     dim: int = 384,
     k: int = 10,
     lists: int | None = None,
-    probes: int = 16,
+    probes: int = 24,
     parts: int = 48,
     rerank: int = 100,
     sample: int = 196_608,
+    book_sample: int = 16_384,
+    most_lists: int = 65_536,
 ) -> DataFrame:
     """(id, other, similarity, rank): the ``k`` rows most similar to each row by cosine, itself left out.
 
@@ -149,122 +232,199 @@ def nearest(
     gets all others; an empty table gives no rows.  Other columns are ignored.
     Ids must be unique.
 
-    ``lists`` is the square root of the number of vectors (8 to 4096) if not
-    given; the sample holds at least 48 vectors a list as far as there are.
+    ``lists`` is the number of rows over ``TARGET`` if not given, and
+    ``most_lists`` at most: their centroids, 1.5 KB each at 384 numbers, are
+    held by every worker.  Beyond 16 million vectors lists grow longer unless
+    that bound is raised; no vector is left out.
     """
     spark = df.sparkSession
-    clean = materialize(usable(df, id_col, vector_col, dim), "vectors")
-    keyed = clean.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    members = materialize(keyed.join(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep"), "members")
-    copies, n_copies = counted(members.where("id <> rep"), "copies")
-    reps = join_bounded(clean, copies.select("id"), "id", n_copies, "left_anti")
-    n = members.count() - n_copies
-    lists = lists or max(8, min(4096, math.isqrt(n)))
+    n = df.count()
+    lists = lists or max(8, min(most_lists, -(-n // TARGET)))
     want = min(sample, max(16_384, 48 * lists))
-    part = reps if n <= want else reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(want / n * (1 << 20)))
-    taken = part.select("vec").toArrow()  # at most ``sample`` rows
+    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)), F.lit(1 << 20)) < int(min(1.0, want / max(1, n)) * (1 << 20))
+    taken = usable(df if n <= want else df.where(chosen), id_col, vector_col, dim).select("vec").toArrow()  # at most about ``sample`` rows
+    if not taken.num_rows and n > want:
+        taken = usable(df, id_col, vector_col, dim).select("vec").limit(want).toArrow()
     if not taken.num_rows:
-        return spark.createDataFrame([], "id long, other long, similarity float, rank int")
-    index = Index.fit(vectors_of(taken.column(0), dim), min(lists, taken.num_rows), parts, probes)
+        return spark.createDataFrame([], "id long, other long, similarity double, rank int")
+    index = Index.fit(np.unique(vectors_of(taken.column(0), dim), axis=0), lists, parts, probes, book_sample=book_sample)
     del taken
-    found = _search(reps, index, dim, k, rerank)
+    clean = usable(df, id_col, vector_col, dim)
+    stored = materialize(clean.mapInArrow(_encoder(index, dim), _STORED), "codes")
+    keyed = stored.select("id", "h1", "h2")
+    members = materialize(keyed.join(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep"), "members")
+    copies, n_copies = counted(members.where("id <> rep"), "copies")
+    reps = join_bounded(stored.drop("h1", "h2"), copies.select("id"), "id", n_copies, "left_anti")
+    found = _search(reps, clean, index, dim, k, rerank)
     return _expand(found, members, copies, n_copies, k)
 
 
-_UNIT = [T.StructField("unit", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("slice", T.IntegerType())]
-_VEC = T.ArrayType(T.FloatType(), False)
+_STORED = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("h1", T.LongType()),
+        T.StructField("h2", T.LongType()),
+        T.StructField("list", T.IntegerType()),
+        T.StructField("code", T.BinaryType()),
+        T.StructField("half", T.BinaryType()),
+    ]
+)
 
 
-def _search(reps: DataFrame, index: Index, dim: int, k: int, rerank: int) -> DataFrame:
-    """(q, c, similarity): the k best candidates of each representative."""
+def _encoder(index: Index, dim: int):
+    """The mapper from (id, vec) to the vector's hash, list, code and half-precision form."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home, codes = index.encode(vectors_of(batch.column(1), dim))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "list", "code"])
+            x = vectors_of(batch.column(1), dim)
+            home, codes = index.encode(x)
+            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(row.tobytes()) for row in x + np.float32(0)), np.int64).reshape(-1, 2)
+            columns = [batch.column(0), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array(home)]
+            yield pa.RecordBatch.from_arrays([*columns, _binary(codes), _binary(x.astype(np.float16))], names=_STORED.names)
+
+    return run
+
+
+def _binary(rows: np.ndarray) -> pa.BinaryArray:
+    """Each row's bytes."""
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.itemsize * data.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _rows(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
+    """The matrix behind a column made by :func:`_binary`."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
-    coded = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", _VEC), T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType())])
-    stored = materialize(reps.mapInArrow(encode, coded), "codes")
+
+@dataclass
+class Plan:
+    """Which unit each list's queries go to, and which units need a list's codes."""
+
+    homes: list[tuple[int, int, int, int]]
+    visits: list[tuple[int, int, int]]
+    slices: int
+
+
+def _plan(index: Index, sizes: np.ndarray) -> Plan:
+    """Packs the lists of each top into units; ``sizes`` are the vectors of each list.
+
+    homes: (list, first unit, units, slices); visits: (list, unit, slices).
+    """
+    homes, visits, unit, most = [], [], 0, 1
+    for t in range(len(index.tops)):
+        here = [a for a in range(index.first[t], index.first[t + 1]) if sizes[a]]
+        at = 0
+        while at < len(here):
+            stop, load = at + 1, sizes[here[at]]
+            while stop < len(here) and load + sizes[here[stop]] <= BLOCK:
+                load += sizes[here[stop]]
+                stop += 1
+            probed = np.unique(index.probes[here[at:stop]])
+            probed = probed[sizes[probed] > 0]
+            slices = max(1, -(-int(sizes[probed].sum()) // SLICE))
+            blocks = max(1, -(-int(load) // BLOCK))
+            homes += [(a, unit, blocks, slices) for a in here[at:stop]]
+            visits += [(int(b), u, slices) for b in probed for u in range(unit, unit + blocks)]
+            most, unit, at = max(most, slices), unit + blocks, stop
+    return Plan(homes, visits, most)
+
+
+_FOUND = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("q", T.LongType()), T.StructField("cands", T.ArrayType(T.LongType(), False))])
+
+
+def _search(reps: DataFrame, clean: DataFrame, index: Index, dim: int, k: int, rerank: int) -> DataFrame:
+    """(q, c, similarity): the k best candidates of each representative."""
+    spark = reps.sparkSession
     sizes = np.zeros(len(index.centres), np.int64)
-    for row in stored.groupBy("list").count().collect():  # one row for each centroid
+    for row in reps.groupBy("list").count().collect():  # one row for each list
         sizes[row[0]] = row[1]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    reach = sizes[index.probes].sum(1)
-    slices = np.maximum(1, -(-reach // SLICE))
-    plan = [(a, int(b), int(blocks[a]), int(slices[a])) for a in range(len(sizes)) if sizes[a] for b in index.probes[a] if sizes[b]]
-    # one row for each list and list it probes: lists * probes rows at most
-    probing = F.broadcast(reps.sparkSession.createDataFrame(plan, "unit int, list int, blocks int, slices int"))
-    home = F.broadcast(reps.sparkSession.createDataFrame(sorted({(a, b, s) for a, _, b, s in plan}), "unit int, blocks int, slices int"))
-    queries = stored.join(home, F.col("list") == F.col("unit")).select(
-        "unit",
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+    plan = _plan(index, sizes)
+    home = spark.createDataFrame(plan.homes, "list int, first int, blocks int, slices int")
+    visits = spark.createDataFrame(plan.visits, "list int, unit int, slices int")
+    queries = join_bounded(reps.drop("code"), home, "list", len(plan.homes)).select(
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("unit"),
         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
         F.col("id").alias("q"),
-        F.col("vec").alias("q_vec"),
+        F.col("list").alias("q_list"),
+        "half",
     )
-    codes = stored.select("id", "list", "code").join(probing, "list").select(
-        "unit",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int").alias("slice"),
-        "id",
-        "list",
-        "code",
+    codes = join_bounded(reps.select("id", "list", "code"), visits, "list", len(plan.visits)).select(
+        "unit", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int").alias("slice"), "id", "list", "code"
     )
 
-    by = ["unit", "block", "slice"]
-
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Asymmetric distances of a block of queries to all codes of its probes."""
-        if not left.num_rows:
+        """Asymmetric distances of a unit's queries to the codes of their lists' probes."""
+        if not left.num_rows or not right.num_rows:
             return cand_schema.empty_table()
-        x = vectors_of(left.column("q_vec"), dim)
-        ids = right.column("id").to_numpy()
-        codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        where = right.column("list").to_numpy()
-        coarse = x @ index.centres.T
-        flat = codes.astype(np.int32) + (np.arange(codes.shape[1], dtype=np.int32) * index.books.shape[1])
-        # |centroid + residual|^2 differs little from 1: vectors are of unit length, so the product decides
-        keep = min(rerank + 1, len(ids))
-        best = np.empty((len(x), keep), np.int64)
-        for at in range(0, len(x), 64):
-            table = index.tables(x[at : at + 64]).reshape(len(x[at : at + 64]), -1)
-            for i, row in enumerate(table, at):
-                score = row[flat].sum(1) + coarse[i, where]
-                top = np.argpartition(-score, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-                best[i] = ids[top]
-        columns = [*(left.column(c) for c in (*by, "q")), list_array(x), list_array(best)]
-        return pa.table([c.cast(t.type) for c, t in zip(columns, cand_schema)], schema=cand_schema)
-
-    fields = [("unit", pa.int32()), ("block", pa.int32()), ("slice", pa.int32()), ("q", pa.int64()), ("q_vec", pa.list_(pa.field("element", pa.float32())))]
-    cand_schema = pa.schema([*fields, ("cands", pa.list_(pa.field("element", pa.int64())))])
-    cand_type = T.StructType([*_UNIT, T.StructField("q", T.LongType()), T.StructField("q_vec", T.ArrayType(T.FloatType())), T.StructField("cands", T.ArrayType(T.LongType()))])
-    cands = materialize(queries.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(look_up, cand_type), "candidates")
-    units = [F.col(c).alias(f"c_{c}") for c in by]
-    need = cands.select(*units, F.explode("cands").alias("id")).distinct().join(stored.select("id", "vec"), "id")
+        right = right.sort_by([("list", "ascending"), ("id", "ascending")])
+        ids, where = right.column("id").to_numpy(), right.column("list").to_numpy()
+        codes = _rows(right.column("code"), np.uint8, len(index.books))
+        left = left.sort_by("q_list")
+        mine, x = left.column("q_list").to_numpy(), _rows(left.column("half"), np.float16, dim).astype(np.float32)
+        ends, cands = [0], []
+        for at, stop in _stretches(mine, TOGETHER):
+            probed = np.sort(index.probes[mine[at]])
+            spans = zip(np.searchsorted(where, probed), np.searchsorted(where, probed, "right"))
+            pick = np.concatenate([np.arange(a, b) for a, b in spans])
+            if not len(pick):
+                ends += [ends[-1]] * (stop - at)
+                continue
+            score = index.scores(x[at:stop], codes[pick], where[pick]).T
+            keep = min(rerank + 1, len(pick))
+            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(pick) else np.broadcast_to(np.arange(len(pick)), score.shape)
+            best = np.take_along_axis(score, top, 1)
+            least = -np.sort(-best, axis=1)[:, min(k, keep - 1)] - 4 * index.error  # the query itself is the first
+            good = best >= least[:, None]
+            cands.append(ids[pick][top[good]])
+            ends += (ends[-1] + np.cumsum(good.sum(1))).tolist()
+        unit = np.full(left.num_rows, left.column("unit")[0].as_py(), np.int32)
+        flat = pa.array(np.concatenate(cands) if cands else np.zeros(0, np.int64))
+        return pa.table([pa.array(unit), left.column("q").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat).cast(cand_schema.field("cands").type)], schema=cand_schema)
+
+    cand_schema = pa.schema([("unit", pa.int32()), ("q", pa.int64()), ("cands", pa.list_(pa.field("element", pa.int64(), False)))])
+    cands = materialize(queries.groupBy("unit", "slice").cogroup(codes.groupBy("unit", "slice")).applyInArrow(look_up, _FOUND), "candidates")
+    wanted = cands.select("unit", F.explode("cands").alias("id")).unionByName(cands.select("unit", F.col("q").alias("id"))).distinct()
+    need, n_need = counted(wanted, "wanted")
+    vectors = join_bounded(clean, need, "id", n_need).select("unit", "id", "vec")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Exact similarities of a unit's queries to the unit's candidates."""
+        """Exact similarities of a unit's queries to their candidates."""
         if not left.num_rows or not right.num_rows:
             return out_schema.empty_table()
-        x, ids = vectors_of(left.column("q_vec"), dim), left.column("q").to_numpy()
         order = np.argsort(right.column("id").to_numpy(), kind="stable")
-        y, other = vectors_of(right.column("vec"), dim)[order], right.column("id").to_numpy()[order]
-        sim = x.astype(np.float64) @ y.T.astype(np.float64)
-        sim[ids[:, None] == other[None, :]] = -9
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # stable, so that ties go to the smaller id
-        best = np.take_along_axis(sim, top, 1)
-        ok = best > -5
-        return pa.table([pa.array(np.repeat(ids, top.shape[1])[ok.ravel()]), pa.array(other[top][ok]), pa.array(best[ok])], schema=out_schema)
+        known, y = right.column("id").to_numpy()[order], vectors_of(right.column("vec"), dim)[order]
+        lists = left.column("cands").combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        place = np.searchsorted(known, flat)
+        asked = left.column("q").to_numpy()
+        own = np.searchsorted(known, asked)
+        q, c, sim = [], [], []
+        for i in range(len(asked)):
+            at = place[bounds[i] : bounds[i + 1]]
+            at = at[at != own[i]]
+            s = y[at].astype(np.float64) @ y[own[i]].astype(np.float64)
+            top = np.lexsort((known[at], -s))[:k]
+            q.append(np.full(len(top), asked[i])), c.append(known[at[top]]), sim.append(s[top])
+        return pa.table([np.concatenate(q), np.concatenate(c), np.concatenate(sim)], schema=out_schema)
 
     out_schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("similarity", pa.float64())])
     out_type = T.StructType([T.StructField("q", T.LongType()), T.StructField("c", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    got = cands.drop("cands").groupBy(*by).cogroup(need.groupBy(*(f"c_{c}" for c in by))).applyInArrow(compare, out_type)
-    if int(slices.max()) == 1:
+    got = cands.groupBy("unit").cogroup(vectors.groupBy("unit")).applyInArrow(compare, out_type)
+    if plan.slices == 1:
         return got
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "c")
     return got.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def _stretches(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of equal values, of ``most`` at most."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    for a, b in zip(cuts, cuts[1:]):
+        for at in range(a, b, most):
+            yield at, min(b, at + most)
+
+
 def _expand(found: DataFrame, members: DataFrame, copies: DataFrame, n_copies: int, k: int) -> DataFrame:
     """From neighbours of representatives to neighbours of rows: copies first, then by similarity and id."""
     if n_copies == 0:

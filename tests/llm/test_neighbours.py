@@ -78,9 +78,33 @@ def test_codes_approximate_inner_products():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     index = Index.fit(x, 16, 8, 4)
     home, codes = index.encode(x)
-    table = index.tables(x[:20])
-    approx = np.array([[index.centres[home[j]] @ x[i] + table[i, np.arange(8), codes[j]].sum() for j in range(500)] for i in range(20)])
-    assert np.abs(approx - x[:20] @ x.T).mean() < 0.05
+    made = index.centres[home] + np.stack([index.books[p][codes[:, p]] for p in range(8)], axis=1).reshape(500, 16)
+    got = index.scores(x[:20], codes, home).T
+    assert np.allclose(got, x[:20] @ made.T, atol=1e-5)
+    assert np.abs(got - x[:20] @ x.T).mean() < 0.05 and 0 < index.error < 0.1
+
+
+def test_lists_are_the_nearest_and_probe_themselves_first():
+    x = np.array(list(clustered(3000, 16).values()), np.float32)
+    index = Index.fit(x, 60, 4, 9)
+    assert 50 <= len(index.centres) <= 75
+    apart = ((x[:, None] - index.centres[None]) ** 2).sum(2)
+    assert (index.home(x) == apart.argmin(1)).mean() > 0.95
+    assert (index.probes[:, 0] == np.arange(len(index.centres))).all()
+    assert all(len(set(row)) == 9 for row in index.probes.tolist())
+
+
+def test_units_hold_every_list_once_and_visit_all_probes():
+    x = np.array(list(clustered(3000, 16).values()), np.float32)
+    index = Index.fit(x, 60, 4, 9)
+    sizes = np.bincount(index.home(x), minlength=len(index.centres))
+    sizes[3] = 5 * neighbours.BLOCK
+    plan = neighbours._plan(index, sizes)
+    assert sorted(a for a, *_ in plan.homes) == np.flatnonzero(sizes).tolist()
+    visited = {(b, u) for b, u, _ in plan.visits}
+    for a, first, blocks, _ in plan.homes:
+        assert blocks >= sizes[a] / neighbours.BLOCK
+        assert all((b, u) in visited for b in index.probes[a].tolist() if sizes[b] for u in range(first, first + blocks))
 
 
 def test_recall_on_the_small_table(spark, tiny):
