@@ -12,12 +12,13 @@ holds ``TARGET`` vectors on average and a query meets a constant number of
 codes.  One scan gives each vector its list, a code of ``parts`` bytes for its
 residual, and its numbers in half precision.
 
-*Search.*  All vectors are queries.  The queries of one list share its
-``probes`` nearest lists.  The lists of a top are packed into *units* of work
-of up to ``BLOCK`` queries; a unit gets its queries in half precision and the
-codes of all lists it probes, once each.  A list's queries are looked up in
-asymmetric distance tables (query part against codebook), laid out by code so
-that a code adds one contiguous row for the whole block of queries.  A query
+*Search.*  All vectors are queries.  The lists of a top are packed into *units*
+of work of up to ``BLOCK`` queries; a unit gets its queries in half precision
+and, once each, the codes of the lists around its own: 2 ``probes`` for each
+of them.  Of these every query visits the ``probes`` lists nearest to itself.
+Its distances come from asymmetric distance tables (query part against
+codebook), laid out by code so that a code adds one contiguous row for a whole
+block of queries.  A query
 keeps what may still be among its k best: candidates within a margin of its
 k-th, four standard deviations of the tables' error as seen on the sample, and
 ``rerank`` at most.
@@ -182,15 +183,51 @@ class Index:
         parts, _, width = self.books.shape
         return np.stack([self.books[p] @ x[:, p * width : (p + 1) * width].T for p in range(parts)])
 
-    def scores(self, x: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Approximate inner products of queries with coded vectors: (codes, queries)."""
-        table = self.tables(x)
-        used, number = np.unique(lists, return_inverse=True)
-        out = (self.centres[used] @ x.T)[number]
+    def scores(self, x: np.ndarray, table: np.ndarray, codes: np.ndarray, which: int) -> np.ndarray:
+        """Approximate inner products of queries with the coded vectors of one list: (codes, queries)."""
+        out = np.repeat((self.centres[which] @ x.T)[None, :], len(codes), axis=0)
         for p in range(len(table)):
             out += table[p][codes[:, p]]
         return out
 
+    def best(self, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, where: np.ndarray, probes: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, id) of what may be among the k + 1 best of each query, sorted by query.
+
+        Each query looks at the ``probes`` lists, of those given, whose
+        centroids are nearest to it; ``where`` is the sorted list of each code.
+        """
+        have, starts = np.unique(where, return_index=True)
+        stops = np.append(starts[1:], len(where))
+        near = x @ self.centres[have].T - (self.centres[have] ** 2).sum(1) / 2
+        probes = min(probes, len(have))
+        asked = np.zeros(near.shape, bool)
+        np.put_along_axis(asked, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
+        table, margin = self.tables(x), 4 * self.error
+        top = np.full((len(x), k + 1), -np.inf, np.float32)
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for j in np.argsort(-near.max(0), kind="stable"):
+            mine = np.flatnonzero(asked[:, j])
+            if not len(mine):
+                continue
+            part = codes[starts[j] : stops[j]]
+            if 2 * len(mine) > len(x):
+                score = self.scores(x, table, part, have[j])[:, mine].T
+            else:
+                score = self.scores(x[mine], np.ascontiguousarray(table[:, :, mine]), part, have[j]).T
+            full = np.concatenate([top[mine], score], axis=1)
+            top[mine] = -np.partition(-full, k, axis=1)[:, : k + 1]
+            q, c = np.nonzero(score >= top[mine].min(1)[:, None] - margin)
+            got.append((mine[q], ids[starts[j] + c], score[q, c]))
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, c, score = (np.concatenate(z) for z in zip(*got))
+        kept = score >= top.min(1)[q] - margin  # the bounds rose while lists were read
+        q, c, score = q[kept], c[kept], score[kept]
+        order = np.lexsort((-score, q))
+        q, c = q[order], c[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) <= rerank
+        return q[kept], c[kept]
+
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """(id, vec): vectors of ``dim`` finite numbers that are not all zero, scaled to unit length."""
@@ -216,7 +253,7 @@ def nearest(
     dim: int = 384,
     k: int = 10,
     lists: int | None = None,
-    probes: int = 24,
+    probes: int = 20,
     parts: int = 48,
     rerank: int = 100,
     sample: int = 196_608,
@@ -247,7 +284,7 @@ def nearest(
         taken = usable(df, id_col, vector_col, dim).select("vec").limit(want).toArrow()
     if not taken.num_rows:
         return spark.createDataFrame([], "id long, other long, similarity double, rank int")
-    index = Index.fit(np.unique(vectors_of(taken.column(0), dim), axis=0), lists, parts, probes, book_sample=book_sample)
+    index = Index.fit(np.unique(vectors_of(taken.column(0), dim), axis=0), lists, parts, 2 * probes, book_sample=book_sample)
     del taken
     clean = usable(df, id_col, vector_col, dim)
     stored = materialize(clean.mapInArrow(_encoder(index, dim), _STORED), "codes")
@@ -255,7 +292,7 @@ def nearest(
     members = materialize(keyed.join(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep"), "members")
     copies, n_copies = counted(members.where("id <> rep"), "copies")
     reps = join_bounded(stored.drop("h1", "h2"), copies.select("id"), "id", n_copies, "left_anti")
-    found = _search(reps, clean, index, dim, k, rerank)
+    found = _search(reps, clean, index, dim, k, probes, rerank)
     return _expand(found, members, copies, n_copies, k)
 
 
@@ -333,7 +370,7 @@ def _plan(index: Index, sizes: np.ndarray) -> Plan:
 _FOUND = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("q", T.LongType()), T.StructField("cands", T.ArrayType(T.LongType(), False))])
 
 
-def _search(reps: DataFrame, clean: DataFrame, index: Index, dim: int, k: int, rerank: int) -> DataFrame:
+def _search(reps: DataFrame, clean: DataFrame, index: Index, dim: int, k: int, probes: int, rerank: int) -> DataFrame:
     """(q, c, similarity): the k best candidates of each representative."""
     spark = reps.sparkSession
     sizes = np.zeros(len(index.centres), np.int64)
@@ -361,25 +398,15 @@ def _search(reps: DataFrame, clean: DataFrame, index: Index, dim: int, k: int, r
         ids, where = right.column("id").to_numpy(), right.column("list").to_numpy()
         codes = _rows(right.column("code"), np.uint8, len(index.books))
         left = left.sort_by("q_list")
-        mine, x = left.column("q_list").to_numpy(), _rows(left.column("half"), np.float16, dim).astype(np.float32)
-        ends, cands = [0], []
-        for at, stop in _stretches(mine, TOGETHER):
-            probed = np.sort(index.probes[mine[at]])
-            spans = zip(np.searchsorted(where, probed), np.searchsorted(where, probed, "right"))
-            pick = np.concatenate([np.arange(a, b) for a, b in spans])
-            if not len(pick):
-                ends += [ends[-1]] * (stop - at)
-                continue
-            score = index.scores(x[at:stop], codes[pick], where[pick]).T
-            keep = min(rerank + 1, len(pick))
-            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(pick) else np.broadcast_to(np.arange(len(pick)), score.shape)
-            best = np.take_along_axis(score, top, 1)
-            least = -np.sort(-best, axis=1)[:, min(k, keep - 1)] - 4 * index.error  # the query itself is the first
-            good = best >= least[:, None]
-            cands.append(ids[pick][top[good]])
-            ends += (ends[-1] + np.cumsum(good.sum(1))).tolist()
+        x = _rows(left.column("half"), np.float16, dim).astype(np.float32)
+        sizes, cands = np.zeros(len(x), np.int64), []
+        for at, stop in _stretches(left.column("q_list").to_numpy(), TOGETHER):
+            q, c = index.best(x[at:stop], ids, codes, where, probes, k, rerank)
+            sizes[at:stop] = np.bincount(q, minlength=stop - at)
+            cands.append(c)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         unit = np.full(left.num_rows, left.column("unit")[0].as_py(), np.int32)
-        flat = pa.array(np.concatenate(cands) if cands else np.zeros(0, np.int64))
+        flat = pa.array(np.concatenate(cands))
         return pa.table([pa.array(unit), left.column("q").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat).cast(cand_schema.field("cands").type)], schema=cand_schema)
 
     cand_schema = pa.schema([("unit", pa.int32()), ("q", pa.int64()), ("cands", pa.list_(pa.field("element", pa.int64(), False)))])
