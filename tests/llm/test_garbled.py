@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from loamdex.llm.garbled import Model, align, garbled_texts, readings, skeleton, write
+from loamdex.llm.garbled import ALWAYS, Model, align, align_lost, become, explain, forms_of, garbled_texts, learn, readings, skeleton, write
 
 CLEAN = [
     "Die Größe der Übersicht muss vor dem Start geprüft werden, für jede Lösung.",
@@ -79,8 +79,38 @@ def test_helpers():
     assert skeleton("fÃ¼r") == "fr"
     assert write("“\x81", "cp1252") == b"\x93\x81" and write("Ж", "latin-1") is None
     assert ("utf-8", "latin-1", "für") in list(readings("fÃ¼r", {"latin-1": ("utf-8",)}))
-    assert align("a“ü”", "aâ€œÃ¼â€", "cp1252") == {"â€œ": "“", "Ã¼": "ü", "â€": "”"}
-    assert align("a”", "ax", "cp1252") == {}
+    assert align("a“b", "aâ€œb") == {("â€œ", "“")} and align("жук", "Ð¶ÑƒÐº") == {("Ð¶", "ж"), ("Ñƒ", "у"), ("Ðº", "к")}
+    assert align("aü”", "aÃ¼â€\x9d") == set()  # five characters for two: no even cut
     import numpy as np
 
     assert Model(frozenset(), np.zeros(1 << 18, np.float32)).by_reader["cp1252"] == ()
+
+
+def test_forms_meet_their_garbled_twins():
+    keys = lambda t: {(k, s) for k, _, s in forms_of(t)}
+    clean = keys("сессия открыта на сервере")
+    twice = keys(garble("сессия открыта на сервере", "utf-8", "cp1251"))
+    assert {k for k, s in clean if s == 1} & {k for k, s in twice if s == 2}
+    assert {k for k, _ in keys("naïve")} & {k for k, _ in keys(garble("naïve", "utf-8", "cp1252"))}
+    assert forms_of("ascii only. 'ü' – «") == set()
+
+
+def test_pairs_are_inferred_from_mappings():
+    table = {become(c, "koi8-r", "cp1251"): c for c in "привет"} | {become(c, "utf-8", "cp850"): c for c in "äöü"}
+    assert explain(table, 2) == {("koi8-r", "cp1251"), ("utf-8", "cp850")}
+    assert explain(table | {"ą": "ę"}, 2) == {("koi8-r", "cp1251"), ("utf-8", "cp850")}
+    assert explain({}, 2) == set()
+    assert align_lost("a“ü”", "aâ€œÃ¼â€", "cp1252") == {"â€œ": "“", "Ã¼": "ü", "â€": "”"} and align_lost("a”", "ax", "cp1252") == {}
+
+
+def test_a_pair_without_twins_is_not_learned_and_one_with_twins_is(spark):
+    rows = [(f"{CLEAN[i % 3]} number {i}",) for i in range(90)]
+    assert learn(spark.createDataFrame(rows, "text string")).pairs == ALWAYS
+    rows += [(garble(CLEAN[i % 2], "utf-8", "mac_roman"),) for i in range(6)]
+    assert ("utf-8", "mac_roman") in learn(spark.createDataFrame(rows, "text string")).pairs
+
+
+def test_references_by_name_and_beyond_one_byte(spark):
+    rows = [(1, "caf&Atilde;&copy; au lait"), (2, "It&#226;&#8364;&#8482;s"), (3, "a&nbsp;&copy; b"), (4, "&eacute;&eacute; &lt;&gt;"), (5, "&#xC3;&#xA9;")]
+    got = {r["doc_id"]: r["restored"] for r in garbled_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "café au lait", 2: "It’s", 5: "é"}
