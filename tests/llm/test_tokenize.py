@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamdex.llm.tokenize import VOCABULARIES, encode_text, join_encodings, token_ids, tree_encode, vocabulary
+from loamdex.llm.tokenize import VOCABULARIES, encode_text, join_all, join_encodings, parts_of, token_ids, tree_encode, vocabulary
 
 try:
     VOCAB = vocabulary("byte_bpe_50k", VOCABULARIES)
@@ -28,7 +28,7 @@ def test_encoding_equals_the_library(text):
 @given(st.text(alphabet="abcdefgh", min_size=1, max_size=200), st.integers(1, 20))
 def test_tree_of_parts_equals_one_piece(text, leaf):
     data = text.encode()
-    assert tree_encode(data, VOCAB._encode_single_piece, VOCAB.decode_single_token_bytes, leaf, threads=2) == VOCAB._encode_single_piece(data)
+    assert tree_encode(data, VOCAB._encode_single_piece, VOCAB.decode_single_token_bytes, leaf) == VOCAB._encode_single_piece(data)
 
 
 def test_join_of_halves():
@@ -41,7 +41,7 @@ def test_join_of_halves():
 def test_very_long_runs():
     rng = random.Random(2)
     letters = "".join(rng.choice("etaoinshrdlu") for _ in range(60_000))
-    for text in (letters, "a" * 50_000, " " * 30_000, "漢" * 9_000, "=" * 20_000 + " end", "x " + "7" * 20_000):
+    for text in (letters, "a" * 50_000, " " * 30_000, "漢" * 9_000, "=" * 20_000 + " end", "x " + "7" * 20_000, "a\n\n" + letters, "a \n \t" + letters + "\n\n" + letters, "\n" * 5 + " " + letters):
         assert encode_text(text, VOCAB) == plain(text)
 
 
@@ -62,3 +62,22 @@ def test_same_as_the_other_library(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet")
     want = {r["doc_id"]: other.encode(r["text"] or "", add_special_tokens=False).ids for r in df.select("doc_id", "text").collect()}
     assert {r["doc_id"]: r["ids"] for r in token_ids(df).collect()} == want
+
+
+def test_texts_that_are_spread_over_tasks(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))
+    words = " ".join(run[i : i + rng.randrange(1, 9)] for i in range(0, 9000, 4))
+    texts = [run, words, "x\n\n" + run + "  \n" + words + " " * 5000, run, "漢字" * 4000 + words]
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)] + [(0, run), (7, "short"), (8, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["ids"]) for r in token_ids(df, spread=5000, part=700).collect())
+    assert got == sorted([(i % 3, plain(t)) for i, t in enumerate(texts)] + [(0, plain(run)), (7, plain("short")), (8, [])])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcXYZ019 \n\té漢字🙂'-_", max_size=400), st.integers(1, 40))
+def test_parts_join_to_the_whole(text, part):
+    runs: dict[int, list] = {}
+    for run, _, whole, data in parts_of(text, 16, part):
+        runs.setdefault(run, []).append(VOCAB._encode_single_piece(data) if whole else VOCAB.encode_ordinary(data.decode()))
+    assert [t for p in runs.values() for t in join_all(p, VOCAB._encode_single_piece, VOCAB.decode_single_token_bytes)] == plain(text)
