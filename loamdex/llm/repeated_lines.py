@@ -1,31 +1,34 @@
 """Lines repeated over many documents of one source.
 
-Every line becomes a set of *bands*.  Band 0 hashes the exact sequence of its
-letter runs, case folded (the limit of a locality-sensitive hash: only equal
-sequences meet).  The other bands hash the *masked* line, in which numbers
-vanish, months become one token and names (capitalised words inside a
-mixed-case line; not identifiers in capitals or camel case) another, so that
-bylines and notices that differ by name or date meet too: band 1 hashes the
-whole masked sequence, the bands after it min-hashes of its tokens.
-
-Bands only nominate.  A line is a near-duplicate of another if their masked
-sequences are an edit distance of at most a twentieth of the longer one apart
-(``similarity`` 0.95); it is repeated if the lines so near to it, its own
-included, are found in one source under ``min_urls`` or more urls.  Equal
-masked sequences need no further check; within a min-hash band that holds
-``min_urls`` urls the sequences are compared.  Lines with fewer than
-``least_runs`` words outside of the masks say too little and are no
-near-duplicates of anything.
+*Masks.*  Digits and signs vanish.  What stands between a day and a year, or
+before both, is a date, and capitalised words inside a mixed-case line are
+names (not identifiers in capitals or camel case, and not where a line has
+more than two such places, as where nouns are capitalised).  Neither needs a
+list of words of some language.
+
+*Bands.*  Every line has a *plain* band, a combined hash of three min-hashes of
+its letter runs, case folded.  Lines with ``least_runs`` words outside of the
+masks also have a band of their whole masked sequence, and those long enough
+for an edit have ``bands`` bands of three min-hashes of it.  Lines that share a
+band within their source form a cluster; a cluster under fewer than
+``min_urls`` urls is dropped.
+
+*Checks.*  Bands only nominate.  Within the clusters of the plain bands, lines
+of the same letter sequence are counted by url: those are the exact cases.
+All their lines share their band, so none is lost.  Within the other clusters
+a line is a near-duplicate of another if their masked sequences are an edit
+distance of at most a twentieth of the longer one apart (``similarity`` 0.95);
+it is repeated if the lines so near to it, its own included, are found under
+``min_urls`` or more urls of the source.
 
 Plan: one scan writes the band hashes as a narrow table; band values are
 counted with map-side combining; only values with enough rows reach the
 distinct count over urls, which first groups by (value, url) so that a line
 found in a third of all documents is spread over all tasks; the surviving
-values, one per repeated line and source, are joined back by a broadcast
-when their count allows, else by a shuffled join.  Masked sequences too short
-for a single edit get no min-hash bands.  The members of a surviving min-hash
-band are reduced to its different sequences, with fewer than ``min_urls`` urls
-each or a mark, before they are compared.
+values, one per cluster, are joined back by a broadcast when their count
+allows, else by a shuffled join.  The members of a surviving min-hash band are
+reduced to its different sequences, with fewer than ``min_urls`` urls each or a
+mark, before they are compared.
 """
 
 from __future__ import annotations
@@ -43,35 +46,79 @@ from pyspark.sql import types as T
 
 from loamdex.runtime import counted, frequent_keys, join_bounded, materialize
 
-from .hashing import WordHashes, minimum_by, mix, pieces, signed
+from .hashing import minimum_by, mix, pieces, ramp, signed
 
-#: Runs of letters of any script.
-LETTERS = re.compile(r"[^\W\d_]+")
-
-# Month names that are masked as dates, in natural order.
-MONTHS = frozenset(
-    "january february march april may june july august september october november december "
-    "jan feb mar apr jun jul aug sep sept oct nov dec".split()
-)
+#: What a line is read as: letter runs and numbers.
+TOKENS = re.compile(r"[^\W\d_]+|\d+")
 
 _SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
         T.StructField("line_no", T.IntegerType()),
         T.StructField("url", T.LongType()),
+        T.StructField("letters", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType(), False)),
         T.StructField("tokens", T.ArrayType(T.LongType(), False)),
     ]
 )
 
-
-def _masked(run: str, first: bool, mixed: bool) -> str:
-    low = run.lower()
-    if low in MONTHS:
-        return "\x01date"
-    if mixed and not first and run[0].isupper() and (len(run) == 1 or run[1:].islower()):
-        return "\x01name"
-    return low
+#: Kinds of tokens: words, words with one capital at their beginning, numbers of a day, a year and others.
+WORD, CAPITAL, DAY, YEAR, NUMBER = range(5)
+DATE, NAME = np.uint64(1), np.uint64(2)
+
+
+class Tokens(dict):
+    """Token to (hash of its folded form, kind) packed in one integer; forgets when it holds ``most`` of them."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        if token[0].isdigit():
+            kind = YEAR if len(token) == 4 and token[:2] in ("19", "20") else DAY if len(token) < 3 else NUMBER
+        else:
+            kind = CAPITAL if token[0].isupper() and (len(token) == 1 or token[1:].islower()) else WORD
+        value = self[token] = (xxhash.xxh3_64_intdigest(token.lower()) & ~7) | kind
+        return value
+
+
+def masked(flat: np.ndarray, kinds: np.ndarray, owner: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """The hashes of all tokens with dates and names masked; ``owner`` is each token's line, ``mixed`` tells which lines have small letters."""
+    n = len(flat)
+    letters = kinds <= CAPITAL
+    out = flat.copy()
+    same = lambda i, k: owner[i] == owner[np.minimum(i + k, n - 1)]
+    for gap in (1, 2, 3):  # a day, words, a year
+        at = np.flatnonzero(kinds[: max(0, n - gap - 1)] == DAY)
+        at = at[(kinds[at + gap + 1] == YEAR) & same(at, gap + 1)]
+        for k in range(1, gap + 1):
+            at = at[letters[at + k]]
+        for k in range(1, gap + 1):
+            out[at + k] = DATE
+    at = np.flatnonzero(letters[: max(0, n - 2)])  # a word, a day, a year
+    at = at[(kinds[at + 1] == DAY) & (kinds[at + 2] == YEAR) & same(at, 2)]
+    out[at] = DATE
+    first = np.ones(n, bool)
+    words = np.flatnonzero(letters)
+    first[words[1:]] = owner[words[1:]] != owner[words[:-1]]
+    capital = (kinds == CAPITAL) & ~first & mixed[owner] & (out != DATE)
+    begins = capital & ~np.concatenate([[False], capital[:-1]])
+    few = np.bincount(owner[begins], minlength=len(mixed)) <= 2
+    out[capital & few[owner]] = NAME
+    return out
+
+
+def _sequence(values: np.ndarray, offsets: np.ndarray, sources: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each line's sequence of tokens within its source; no line is empty."""
+    place = ramp(np.diff(offsets)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(values + mix(place + np.uint64(salt))), offsets[:-1]) ^ mix(sources + np.uint64(salt)))
+
+
+def _bands(values: np.ndarray, offsets: np.ndarray, sources: np.ndarray, mult: np.ndarray, salt: int) -> np.ndarray:
+    """One combined hash of min-hashes for each line."""
+    key = sources + np.uint64(salt)
+    for m in mult:
+        key = mix(key) ^ minimum_by(mix(values * m), offsets)
+    return mix(key)
 
 
 def _most_edits(length: int, similarity: float) -> int:
@@ -80,55 +127,65 @@ def _most_edits(length: int, similarity: float) -> int:
 
 
 def _band_rows(bands: int, rows: int, least_runs: int, similarity: float):
-    """The mapper from (id, source, url, text) batches to band rows.
-
-    All lines have band 0; lines with enough words outside of the masks have
-    band 1, and those long enough for an edit the others and their tokens.
-    """
+    """The mapper from (id, source, url, text) batches to band rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = Tokens()
         rng = np.random.default_rng(20_240_501)
-        mult = rng.integers(1, 2**63, size=(bands * rows), dtype=np.uint64) | np.uint64(1)
+        mult = rng.integers(1, 2**63, size=(bands + 1, rows), dtype=np.uint64) | np.uint64(1)
         for batch in pieces(batches, 3):
-            ids, nos, urls, keys, srcs, toks, ends, long = [], [], [], [], [], [], [0], []
+            ids, nos, urls, srcs, codes, sizes, mixed = [], [], [], [], [], [], []
             for rid, source, url, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if not text or source is None or url is None:
                     continue
                 src, where = xxhash.xxh3_64_intdigest(source), xxhash.xxh3_64_intdigest(url)
                 for no, line in enumerate(text.split("\n"), 1):
-                    runs = LETTERS.findall(line)
-                    if len(runs) < least_runs:
-                        continue
-                    keys.append([xxhash.xxh3_64_intdigest(source + "\0" + " ".join(runs).lower())])
-                    ids.append(rid), nos.append(no), urls.append(where)
-                    mixed = not line.isupper()
-                    masked = [_masked(r, k == 0, mixed) for k, r in enumerate(runs)]
-                    if sum(m[0] != "\x01" for m in masked) < least_runs:
+                    found = TOKENS.findall(line)
+                    if len(found) < least_runs:
                         continue
-                    keys[-1].append(xxhash.xxh3_64_intdigest(source + "\0\0" + " ".join(masked)))
-                    if _most_edits(len(masked), similarity):
-                        long.append(len(keys) - 1)
-                        toks.extend([cache[m] for m in masked])
-                        ends.append(len(toks))
-                        srcs.append(src)
+                    codes += map(cache.__getitem__, found)
+                    ids.append(rid), nos.append(no), urls.append(where), srcs.append(src)
+                    sizes.append(len(found)), mixed.append(not line.isupper())
             if not ids:
                 continue
-            flat, offsets = np.array(toks, np.uint64), np.array(ends, np.int64)
-            if long:
-                source_of = np.array(srcs, np.uint64)
+            flat = np.array(codes, np.uint64)
+            kinds, owner = (flat & np.uint64(7)).astype(np.int8), np.repeat(np.arange(len(ids)), sizes)
+            flat &= ~np.uint64(7)
+            veiled = masked(flat, kinds, owner, np.array(mixed))
+            letters = kinds <= CAPITAL
+            owner, flat, veiled = owner[letters], flat[letters], veiled[letters]
+            count = np.bincount(owner, minlength=len(ids))
+            long_enough = count >= least_runs
+            inside = long_enough[owner]
+            owner, flat, veiled = owner[inside], flat[inside], veiled[inside]
+            lines = np.flatnonzero(long_enough)
+            if not len(lines):
+                continue
+            count, sources = count[lines], np.array(srcs, np.uint64)[lines]
+            offsets = np.concatenate([[0], np.cumsum(count)])
+            exact, plain = _sequence(flat, offsets, sources, 1), _bands(flat, offsets, sources, mult[0], 2)
+            said = np.add.reduceat((veiled > NAME).astype(np.int64), offsets[:-1]) >= least_runs
+            whole = _sequence(veiled, offsets, sources, 3)
+            edits = said & ((count * (1 - similarity) + 1e-9).astype(np.int64) > 0)
+            kept = np.repeat(edits, count)
+            toks, ends = veiled[kept], np.concatenate([[0], np.cumsum(count[edits])])
+            keys = [plain[:, None], whole[:, None]]
+            near = np.zeros((len(lines), bands), np.uint64)
+            if len(toks):
                 for b in range(bands):
-                    key = source_of + np.uint64(b + 1)
-                    for r in range(rows):
-                        key = mix(key) ^ minimum_by(mix(flat * mult[b * rows + r]), offsets)
-                    for at, value in zip(long, mix(key).tolist()):
-                        keys[at].append(value)
-            sizes = np.zeros(len(ids), np.int64)
-            sizes[long] = np.diff(offsets)
+                    near[edits, b] = _bands(toks, ends, sources[edits], mult[b + 1], 4 + b)
+            keys = np.concatenate([*keys, near], axis=1)
+            there = np.concatenate([np.ones((len(lines), 1), bool), said[:, None], np.repeat(edits[:, None], bands, 1)], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(signed(np.array(urls, np.uint64)))]
-                + [_lists(np.array([v for k in keys for v in k], np.uint64), [len(k) for k in keys]), _lists(flat, sizes)],
-                names=["id", "line_no", "url", "bands", "tokens"],
+                [
+                    pa.array(ids, pa.int64()).take(pa.array(lines)),
+                    pa.array(nos, pa.int32()).take(pa.array(lines)),
+                    pa.array(signed(np.array(urls, np.uint64)[lines])),
+                    pa.array(signed(exact)),
+                    _lists(keys[there], there.sum(1)),
+                    _lists(toks, np.where(edits, count, 0)),
+                ],
+                names=_SCHEMA.names,
             )
 
     return run
@@ -269,10 +326,16 @@ def repeated_lines(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(url_col).alias("url"), F.col(text_col).alias("text")
     )
     lines = materialize(narrow.mapInArrow(_band_rows(bands, rows, least_runs, similarity), _SCHEMA), "lines")
-    exploded = lines.select("id", "line_no", "url", F.posexplode("bands").alias("band", "key"))
-    hot, n = counted(frequent_keys(exploded.select("key", "url"), "key", "url", min_urls).select("key"), "repeated")
-    same = join_bounded(exploded.where("band < 2"), hot, "key", n, "left_semi").select("id", "line_no", (F.col("band") == 0).alias("exact"))
+    exploded = lines.select("url", F.explode("bands").alias("key"))
+    hot, n = counted(frequent_keys(exploded, "key", "url", min_urls).select("key"), "clusters")
+    # exact cases: the lines of plain clusters, counted by their letters
+    plain = join_bounded(lines.select("id", "line_no", "url", "letters", F.element_at("bands", 1).alias("key")), hot, "key", n, "left_semi")
+    plain = materialize(plain.drop("key"), "nominated")
+    cases, n_cases = counted(frequent_keys(plain, "letters", "url", min_urls).select("letters"), "repeated")
+    exact = join_bounded(plain, cases, "letters", n_cases, "left_semi").select("id", "line_no", F.lit(True).alias("exact"))
     form = F.element_at("bands", 2)
+    alike = lines.where(F.size("bands") > 1).select("id", "line_no", form.alias("key"))
+    same = exact.unionByName(join_bounded(alike, hot, "key", n, "left_semi").select("id", "line_no", F.lit(False).alias("exact")))
     members = lines.where(F.size("tokens") > 0).select(form.alias("form"), "url", "tokens", F.explode(F.slice("bands", 3, bands)).alias("key"))
     members = join_bounded(members, hot, "key", n, "left_semi")
     members = join_bounded(members, hot.select(F.col("key").alias("form"), F.lit(True).alias("settled")), "form", n, "left")
