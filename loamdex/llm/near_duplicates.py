@@ -7,14 +7,18 @@ differ in each position with probability 1 - J, so that similarity >= t means
 a Hamming distance of at most ``budget`` (the expectation plus ``slack``
 standard deviations).
 
-*Candidates.*  A pair is considered from each segment in which it does not
-differ at all.
-
-*Pigeonring.*  If all differences on the ring sum up to no more than
-``budget``, some chain of consecutive segments stays within its proportional
-share at every length: the differences in its first l segments are at most
-l * budget / segments.  So each index row carries, beside the hash of its own
-segment, four bits of each position of the following ``chain - 1`` segments;
+*Budgets.*  The budget plus one is dealt out to the segments in whole units,
+so that it is overdrawn exactly if all segments use up theirs.  If the
+differences of a pair sum up to no more than ``budget``, there is a segment
+from which on the ring every chain of consecutive segments has fewer
+differences than the units of its segments together.
+
+*Candidates.*  A segment with u units that begins such a chain has fewer than
+u differences.  So it is indexed once for each choice of u - 1 of its positions
+to leave out, and a pair that begins a chain there meets in one of them.
+
+*Pigeonring.*  Each index row carries, beside the hash of the positions that
+are left, four bits of each position of the ``chain`` segments from its own on;
 the join condition walks the chain and drops a pair at the first length at
 which it overdraws.  Four bits can only hide a difference, so no chain within
 its budget is lost.
@@ -33,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +59,25 @@ _DOCS = T.StructType(
         T.StructField("ring", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("tail", T.LongType())]), False)),
     ]
 )
+#: Low bits of an index value that hold the number of its segment.
+SEGMENT_BITS = 5
+
 _SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False))])
 
 
-def _ring(segments: int, span: int, chain: int, width: int, least: int):
-    """The mapper from (id, text) to ring rows: per segment its hash and the low bits of its chain."""
+def units_of(budget: float, segments: int, span: int) -> list[int]:
+    """The units of each segment; together one more than the whole differences of the budget, and ``span`` each at most."""
+    total = min(int(budget) + 1, segments * span)
+    return [total // segments + (i < total % segments) for i in range(segments)]
+
+
+def _choices(units: list[int], span: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(segment, its positions that are kept) of every index row; a segment without units begins no chain."""
+    return [(s, kept) for s, u in enumerate(units) if u for kept in combinations(range(span), span - u + 1)]
+
+
+def _ring(segments: int, span: int, chain: int, width: int, least: int, choices: list[tuple[int, tuple[int, ...]]]):
+    """The mapper from (id, text) to ring rows: for each choice its hash, which ends in the segment's number, and the low bits of its chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -66,7 +85,6 @@ def _ring(segments: int, span: int, chain: int, width: int, least: int):
         rng = np.random.default_rng(7_919)
         mult = rng.integers(1, 2**32, size=k, dtype=np.uint32) | np.uint32(1)
         add = rng.integers(0, 2**32, size=k, dtype=np.uint32)
-        follow = (chain - 1) * span
         for batch in pieces(batches, 1):
             ids = batch.column(0).to_numpy()
             hashes, offsets = flat_words(batch.column(1).to_pylist(), cache)
@@ -86,23 +104,26 @@ def _ring(segments: int, span: int, chain: int, width: int, least: int):
                 x = small * mult[j] + add[j]
                 x ^= x >> np.uint32(15)
                 sig[:, j] = minimum_by(x * np.uint32(0x9E3779B1), bounds)
-            keys = np.empty((len(use), segments), np.uint64)
-            tails = np.zeros((len(use), segments), np.uint64)
+            low = (sig & np.uint32(15)).astype(np.uint64)
+            walks = np.zeros((len(use), segments), np.uint64)
             for s in range(segments):
-                acc = np.full(len(use), s + 1, np.uint64)
-                for p in range(span):
+                for p in range(chain * span):
+                    walks[:, s] |= low[:, (s * span + p) % k] << np.uint64(4 * p)
+            keys = np.empty((len(use), len(choices)), np.uint64)
+            for c, (s, kept) in enumerate(choices):
+                acc = np.full(len(use), c + 1, np.uint64)
+                for p in kept:
                     acc = mix(acc) ^ sig[:, s * span + p].astype(np.uint64)
-                keys[:, s] = mix(acc)
-                for p in range(follow):
-                    tails[:, s] |= (sig[:, (s * span + span + p) % k].astype(np.uint64) & np.uint64(15)) << np.uint64(4 * p)
-            ring = pa.StructArray.from_arrays([pa.array(signed(keys.ravel())), pa.array(signed(tails.ravel()))], names=["key", "tail"])
+                keys[:, c] = mix(acc) << np.uint64(SEGMENT_BITS) | np.uint64(s)
+            tails = walks[:, [s for s, _ in choices]]
+            ring = pa.StructArray.from_arrays([pa.array(signed(keys.ravel())), pa.array(signed(np.ascontiguousarray(tails).ravel()))], names=["key", "tail"])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[use]),
                     pa.array(same[:, 0].copy()),
                     pa.array(same[:, 1].copy()),
                     pa.array(counts.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(use) * segments + 1, segments, dtype=np.int32)), ring),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(use) * len(choices) + 1, len(choices), dtype=np.int32)), ring),
                 ],
                 names=["id", "same", "same2", "n", "ring"],
             )
@@ -164,20 +185,21 @@ def duplicate_groups(
     equal share a representative, so ties and repeated rows make no links among
     themselves.  Ids must be unique.  Other columns are ignored.
 
-    Recall: a pair of similarity J is missed if it differs in every segment,
-    with the chance (1 - J**span) ** segments (0.8 % at J = 0.6, 0.00003 % at
-    0.8), or overdraws every chain or the budget (below 0.5 % at the threshold).
+    Recall: a pair at the threshold is missed only if its Hamming distance
+    exceeds the budget, ``slack`` standard deviations above its mean (0.2 % at
+    3); one of higher similarity less often.  Nothing else is lost.
     """
-    if (chain - 1) * span > 16:
-        raise ValueError("a chain may cover 16 positions after its first segment")
+    if chain * span > 16 or segments > 1 << SEGMENT_BITS:
+        raise ValueError(f"a chain may cover 16 positions, and there may be {1 << SEGMENT_BITS} segments")
+    units = units_of(budget_for(threshold, segments * span, slack), segments, span)
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    docs = materialize(narrow.mapInArrow(_ring(segments, span, chain, width, least_words), _DOCS), "ring")
+    docs = materialize(narrow.mapInArrow(_ring(segments, span, chain, width, least_words, _choices(units, span)), _DOCS), "ring")
     # exact copies: only hashes and ids are shuffled, combined on the map side
     reps = docs.groupBy("same", "same2").agg(F.min("id").alias("rep"))
     members = materialize(docs.select("id", "same", "same2").join(reps, ["same", "same2"]).select("id", "rep"), "members")
     copies, n_copies = counted(members.where("id <> rep").select("id"), "copies")
     index = join_bounded(docs, copies, "id", n_copies, "left_anti").select("id", "n", F.inline("ring"))
-    links = _candidates(index, threshold, segments, span, chain, slack, block)
+    links = _candidates(index, threshold, units, span, chain, block)
     cand, n_cand = counted(links, "candidates")
     ends = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ends, n_ends = counted(ends, "ends")
@@ -191,9 +213,8 @@ def duplicate_groups(
     return members, out.where(F.col("shared") >= F.lit(threshold) * F.col("total") - 1e-9)
 
 
-def _candidates(index: DataFrame, threshold: float, segments: int, span: int, chain: int, slack: float, block: int) -> DataFrame:
-    """Pairs (a, b), a < b, with an equal segment from which a chain stays within its budget."""
-    share = budget_for(threshold, segments * span, slack) / segments
+def _candidates(index: DataFrame, threshold: float, units: list[int], span: int, chain: int, block: int) -> DataFrame:
+    """Pairs (a, b), a < b, that begin a chain within its budget at some segment."""
     # values of one record cannot meet anything: drop them before the self-join
     groups, n_groups = counted(index.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "shared-keys")
     rows = join_bounded(index, groups, "key", n_groups)
@@ -205,20 +226,37 @@ def _candidates(index: DataFrame, threshold: float, segments: int, span: int, ch
     left = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("cell"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("tail").alias("ta"))
     pairs = left.join(right, ["key", "cell"]).where("a < b")
     pairs = pairs.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    for length in range(2, chain + 1):
-        pairs = pairs.where(_spent(F.col("ta"), F.col("tb"), 0, (length - 1) * span) <= F.lit(int(length * share)))
+    segment = F.col("key").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int") + 1
+    for length in range(1, chain + 1):
+        most = [sum(units[(s + k) % len(units)] for k in range(length)) - 1 for s in range(len(units))]
+        allowed = F.lit(most[0]) if len(set(most)) == 1 else F.element_at(F.array(*map(F.lit, most)), segment)
+        pairs = pairs.where(_spent(F.col("ta"), F.col("tb"), 0, length * span) <= allowed)
     return pairs.select("a", "b").distinct()
 
 
-def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
+def pairs_of(members: DataFrame, links: DataFrame, block: int = 2048) -> DataFrame:
     """All pairs of records (id_a < id_b) behind representatives and links.
 
-    Its size is that of the result; a large group of copies is spread by id.
+    Its size is that of the result.  A class of more than ``block`` copies is
+    cut into cells by a hash of the id, and each pairing of a cell with a record
+    or a link is a key of its own, so that no task holds a whole hot class.
     """
-    a = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    b = members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    across = links.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select("x", "y")
+    hot, n_hot = counted(members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cells")).where("cells > 1"), "hot-classes")
+
+    def spread(rows: DataFrame, rep: str, cell: str) -> DataFrame:
+        """One row for each cell of the class."""
+        tagged = join_bounded(rows, hot.select(F.col("rep").alias(rep), F.col("cells").alias("_c")), rep, n_hot, "left")
+        return tagged.withColumn(cell, F.explode(F.sequence(F.lit(0), F.coalesce("_c", F.lit(1)) - 1))).drop("_c")
+
+    def placed(name: str, rep: str, cell: str) -> DataFrame:
+        """Each record in its own cell."""
+        tagged = join_bounded(members.select(F.col("rep").alias(rep), F.col("id").alias(name)), hot.select(F.col("rep").alias(rep), F.col("cells").alias("_c")), rep, n_hot, "left")
+        return tagged.select(rep, name, F.pmod(F.xxhash64(name), F.coalesce("_c", F.lit(1))).cast("int").alias(cell))
+
+    a, b = placed("x", "rep_a", "cell_a"), placed("y", "rep_b", "cell_b")
+    half = spread(links.select("rep_a", "rep_b"), "rep_a", "cell_a").join(a, ["rep_a", "cell_a"]).select("rep_b", "x")
+    across = spread(half, "rep_b", "cell_b").join(b, ["rep_b", "cell_b"]).select("x", "y")
     copies = members.where("id <> rep").select("rep").distinct()
-    same = a.join(copies.select(F.col("rep").alias("rep_a")), "rep_a", "left_semi")
-    within = same.join(b, F.col("rep_a") == F.col("rep_b")).where("x < y").select("x", "y")
+    same = members.join(copies, "rep", "left_semi").select(F.col("rep").alias("rep_b"), F.col("id").alias("x"))
+    within = spread(same, "rep_b", "cell_b").join(b, ["rep_b", "cell_b"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -112,3 +112,30 @@ def test_same_as_brute_force_on_the_small_table(spark, tiny):
     got = {(r["id_a"], r["id_b"]) for r in pairs_of(members, links).collect()}
     want = brute(texts, 0.6, 3)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_units_leave_no_chain_out():
+    from loamdex.llm.near_duplicates import _choices, units_of
+
+    rng = random.Random(8)
+    for budget, segments, span in ((35.4, 20, 3), (21.3, 20, 3), (7, 5, 2), (3, 6, 3)):
+        units = units_of(budget, segments, span)
+        assert sum(units) == int(budget) + 1
+        choices = _choices(units, span)
+        for _ in range(300):
+            wrong = rng.sample(range(segments * span), rng.randrange(int(budget) + 1))
+            spent = [sum(w // span == s for w in wrong) for s in range(segments)]
+            begins = [s for s in range(segments) if all(sum(spent[(s + k) % segments] - units[(s + k) % segments] for k in range(n)) < 0 for n in range(1, segments + 1))]
+            assert begins
+            # the pair meets in an index row of that segment
+            assert all(any(c == s and not {s * span + p for p in kept} & set(wrong) for c, kept in choices) for s in begins)
+
+
+def test_a_hot_class_is_cut_into_cells_and_keeps_all_pairs(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(50)] + [(60 + i, 60) for i in range(3)] + [(70, 70)], "id long, rep long")
+    links = spark.createDataFrame([(0, 60, 1, 1), (60, 70, 1, 1)], "rep_a long, rep_b long, shared int, total int")
+    want = {(a, b) for a in range(50) for b in range(a + 1, 50)} | {(60, 61), (60, 62), (61, 62)}
+    want |= {(a, 60 + b) for a in range(50) for b in range(3)} | {(60 + b, 70) for b in range(3)}
+    for block in (7, 2048):
+        got = [(r["id_a"], r["id_b"]) for r in pairs_of(members, links, block).collect()]
+        assert len(got) == len(want) and set(got) == want
