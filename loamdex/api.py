@@ -27,7 +27,7 @@ def _between(name: str, value: int, low: int, high: int) -> int:
 
 
 class Engine:
-    """A store with its sources, pages, encoder and chat function."""
+    """A store with its sources, pages, encoder, chat function and scorer for re-ranking."""
 
     def __init__(
         self,
@@ -38,8 +38,9 @@ class Engine:
         chat: Callable | None = None,
         settings: Settings | None = None,
         settings_path: str | Path | None = None,
+        scorer: Callable | None = None,
     ):
-        self.store, self.sources, self.pages, self.load_encoder, self.chat, self.path = store, sources, pages, load_encoder, chat, settings_path
+        self.store, self.sources, self.pages, self.load_encoder, self.chat, self.scorer, self.path = store, sources, pages, load_encoder, chat, scorer, settings_path
         kept = load_settings(settings_path) if settings_path else {}
         self.settings = (settings or Settings()).update(**kept)
 
@@ -69,7 +70,7 @@ class Engine:
         """Answers with their sources."""
         if self.chat is None:
             raise ValueError("no chat function was given")
-        return ingest.ask(self.store, self._queries(queries), self.load_encoder, self.chat, self.settings)
+        return ingest.ask(self.store, self._queries(queries), self.load_encoder, self.chat, self.settings, self.scorer)
 
     # writes ---------------------------------------------------------------
     def index_document(self, doc_id: str, tokens: list[str]) -> str:

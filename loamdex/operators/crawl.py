@@ -72,8 +72,9 @@ def crawl(sources: DataFrame, pages: DataFrame, seeds: DataFrame | None = None)
 
     Seeds, the sources' own or given as (source_id, seed), and links are
     normalised and admitted by the source's rules; a page at the source's
-    max_depth is emitted but its links are not followed.  The catalog of
-    sources is small and counted before it is broadcast.
+    max_depth is emitted but its links are not followed.  Only pages of the
+    sources' domains are kept, and only those that a level reaches are parsed.
+    The catalog of sources is small and counted before it is broadcast.
     """
     rule = sources.select("source_id", "allowed_domains", "allowed_path_prefixes", "blocked_path_patterns", "max_depth")
     rule, n_rules = counted(rule, "rules")
@@ -81,14 +82,18 @@ def crawl(sources: DataFrame, pages: DataFrame, seeds: DataFrame | None = None)
     site = join_bounded(given, rule, "source_id", n_rules)
     ok = url_allowed(F.col("node"), F.col("allowed_domains"), F.col("allowed_path_prefixes"), F.col("blocked_path_patterns"))
     start = site.withColumn("node", normal_url(F.col("seed"))).where(ok).select("source_id", "node").distinct()
-    known = materialize(fetched(pages).select("node", "url", "html", "status_code"), "fetched")
-    links = extract_links(known.select("node", "url", "html")).select(F.col("node").alias("src"), F.explode("links").alias("dst")).distinct()
-    links = materialize(links, "links")
+    # no page of another domain can be admitted
+    domains, n_domains = counted(rule.select(F.explode("allowed_domains").alias("_domain")).distinct(), "domains")
+    near = join_bounded(pages.withColumn("_domain", F.try_parse_url(normal_url(F.col("url")), F.lit("AUTHORITY"))), domains, "_domain", n_domains, "left_semi")
+    known = materialize(fetched(near.drop("_domain")).select("node", "url", "html", "status_code"), "fetched")
     level = materialize(start, "frontier")
     visited = level.withColumn("depth", F.lit(0))
     deepest = sources.agg(F.max("max_depth")).first()[0] or 0
     for depth in range(1, deepest + 1):
         open_ = join_bounded(level, rule, "source_id", n_rules).where(F.col("max_depth") >= depth)
+        # only the frontier's pages are parsed, each once
+        links = extract_links(known.select("node", "url", "html").join(open_.select("node").distinct(), "node", "left_semi"))
+        links = links.select(F.col("node").alias("src"), F.explode("links").alias("dst")).distinct()
         ahead = open_.join(links, F.col("node") == F.col("src")).drop("node", "src").withColumnRenamed("dst", "node").where(ok)
         ahead = ahead.select("source_id", "node").distinct().join(visited.select("source_id", "node"), ["source_id", "node"], "left_anti")
         level = materialize(ahead, "frontier")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from loamdex.functions.text import inner_product, unit_vector
-from loamdex.runtime import blank, counted, join_bounded, materialize
+from loamdex.functions.text import unit_vector
+from loamdex.runtime import blank, counted, join_bounded, materialize, shared_dir
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -24,8 +25,8 @@ def check_dimension(df: DataFrame, column: str, dimension: int) -> DataFrame:
     return df.withColumn(column, F.when(F.size(column) == dimension, F.col(column)).otherwise(wrong))
 
 
-def encode(df: DataFrame, text: str, load: Callable[[], Encoder], dimension: int, out: str = "embedding") -> DataFrame:
-    """Add unit vectors of a text column; the encoder is loaded once a worker and called on batches.
+def encode(df: DataFrame, text: str, load: Callable[[], Encoder], dimension: int, out: str = "embedding", batch: int = 128) -> DataFrame:
+    """Add unit vectors of a text column; the encoder is loaded once a worker and called on ``batch`` texts at most.
 
     Blank texts are an error.  ``load`` is any function that returns an encoder,
     so a model can be plugged in; see :func:`hashing_encoder` for one without.
@@ -34,8 +35,10 @@ def encode(df: DataFrame, text: str, load: Callable[[], Encoder], dimension: int
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for batch in batches:
-            x = np.asarray(model(batch.tolist()), np.float32).reshape(len(batch), -1)
+        for some in batches:
+            texts = some.tolist()
+            parts = [np.asarray(model(texts[at : at + batch]), np.float32) for at in range(0, len(texts), batch)]
+            x = np.concatenate(parts) if parts else np.zeros((0, dimension), np.float32)
             if x.shape[1] != dimension:
                 raise ValueError(f"expected dimension {dimension}, got {x.shape[1]}")
             norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -153,11 +156,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int
 
 
 class InvertedLists:
-    """Approximate search: vectors in the lists of their nearest centroids.
+    """Approximate search by inner product: vectors in the lists of their nearest centroids.
 
-    Centroids are fitted on a bounded sample; every vector is indexed.  A query
-    visits its ``probes`` nearest lists, an equi-join on the list number, so
-    the plan prunes partitions of a table that is partitioned by list.
+    Centroids are fitted on a bounded sample; every vector is indexed, in a
+    table that is partitioned by list.  A query visits its ``probes`` nearest
+    lists; a search reads only the lists that some query visits.
     """
 
     def __init__(self, centroids: np.ndarray):
@@ -187,28 +190,64 @@ class InvertedLists:
         def near(batch: pd.Series) -> pd.Series:
             if not len(batch):
                 return pd.Series([], dtype=object)
-            scores = np.array(batch.tolist(), np.float32) @ centres.T
+            x = np.array(batch.tolist(), np.float32)
+            scores = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ centres.T
             return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)))
 
         return near(F.col(column))
 
-    def index(self, vectors: DataFrame) -> DataFrame:
-        """``vectors`` with its list number as ``list_id``, written once, so that searches read it."""
-        kept = materialize(vectors, "vectors")
-        return materialize(kept.withColumn("list_id", F.element_at(self._nearest("embedding", 1), 1)), "lists")
+    def index(self, vectors: DataFrame, path: str | None = None) -> DataFrame:
+        """``vectors`` with its list number as ``list_id``, written once, a folder for each list."""
+        at = path or f"{shared_dir(vectors.sparkSession)}/loamdex/lists-{uuid.uuid4().hex}"
+        listed = vectors.withColumn("list_id", F.element_at(self._nearest("embedding", 1), 1))
+        # the number is computed below the exchange; a crowded list is written by several tasks
+        listed.repartition("list_id", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("list_id").option("compression", "zstd").parquet(at)
+        return vectors.sparkSession.read.parquet(at)
 
-    def search(self, indexed: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-        """As :func:`exact_top_k`, over the probed lists only."""
+    def search(self, indexed: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8, digits: int | None = None) -> DataFrame:
+        """As :func:`exact_top_k`, over the probed lists only.
+
+        The queries of a list come to its vectors: they are a stated set that is
+        small beside the vectors, and each list's are multiplied as one matrix.
+        """
         q, _ = counted(queries, "queries")
-        visits, n = counted(q.withColumn("list_id", F.explode(self._nearest("query_vector", probes))), "visits")
-        pairs = join_bounded(indexed, visits, "list_id", n)
-        rows = pairs.select("query_id", "doc_id", inner_product(F.col("embedding"), F.col("query_vector")).alias("score"))
+        visits = materialize(q.withColumn("list_id", F.explode(self._nearest("query_vector", probes))).select("query_id", "list_id", F.col("query_vector").cast("array<float>").alias("query_vector")), "visits")
+        visited = [r[0] for r in visits.select("list_id").distinct().collect()]  # at most one row for each centroid
+        doc_type = indexed.schema["doc_id"].dataType
+        schema = StructType([StructField("query_id", LongType()), StructField("doc_id", doc_type), StructField("score", DoubleType())])
+        arrow_doc = to_arrow_type(doc_type)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            empty = pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], arrow_doc), "score": pa.array([], pa.float64())})
+            if not left.num_rows or not right.num_rows:
+                return empty
+            dim = len(left.column("query_vector")[0].as_py())
+            best = _Best(_matrix(left.column("query_vector"), dim), k, digits)
+            best.add(np.array(right.column("doc_id").to_pylist(), object), _matrix(right.column("embedding"), dim))
+            return pa.table({"query_id": pa.array(left.column("query_id").to_numpy()[best.q], pa.int64()), "doc_id": pa.array(best.doc.tolist(), arrow_doc), "score": pa.array(best.score)})
+
+        # a crowded list is cut into cells by a hash of its ids, to each of which its queries come
+        sizes = indexed.where(F.col("list_id").isin(visited)).groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / LIST_CELL).cast("int").alias("cells"))
+        sizes = F.broadcast(sizes)  # one row for each centroid at most
+        asked = visits.join(sizes, "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "query_id", "query_vector")
+        held = indexed.where(F.col("list_id").isin(visited)).join(sizes, "list_id").select(
+            F.col("list_id").alias("list"), F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("part"), "doc_id", F.col("embedding").cast("array<float>").alias("embedding")
+        )
+        rows = asked.groupBy("list_id", "cell").cogroup(held.groupBy("list", "part")).applyInArrow(run, schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def positions(vectors: DataFrame, order: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """(position, doc_id): dense sequential positions from 0 in the given order, without a global sort in one task."""
+#: Vectors of a list that one task compares with the list's queries.
+LIST_CELL = 50_000
+
+
+def positions(vectors: DataFrame, order: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """(position, doc_id): dense sequential positions from 0 in the given order, without a global sort in one task.
+
+    There are as many ranges as the session has shuffle partitions, if ``buckets`` does not say otherwise.
+    """
+    buckets = buckets or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = vectors.select("doc_id", F.col(order).alias("_o")).repartitionByRange(buckets, "_o", "doc_id")
     ranged = materialize(ranged.withColumn("_p", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_o", "doc_id")))

@@ -32,12 +32,12 @@ class Report:
 def _index(store: Store, fresh: DataFrame, load_encoder, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Index new chunks in both indexes with one commit each; chunks without tokens stay out of the lexical one.  The doc_id of each that was added."""
     texts = fresh.where(~blank(F.col("text"))).select(F.col("chunk_id").alias("doc_id"), "text")
-    toks = materialize(lexical.tokenized(texts, "doc_id", "text"), "tokens")
+    toks = materialize(lexical.tokenized(texts, "doc_id", "text", stem=False), "tokens")
     if toks.count():
-        store.write_segment(lexical.term_counts(toks), lexical.doc_lengths(toks))
+        store.write_segment(lexical.term_counts(toks, stem=True), lexical.doc_lengths(toks))
         store.merge_segments(settings.max_segments)
     new_vectors = texts.join(store.vectors().select("doc_id"), "doc_id", "left_anti")
-    encoded = materialize(dense.encode(new_vectors, "text", load_encoder, settings.dimension).select("doc_id", "embedding"), "encoded")
+    encoded = materialize(dense.encode(new_vectors, "text", load_encoder, settings.dimension, batch=settings.vector_batch).select("doc_id", "embedding"), "encoded")
     if encoded.count():
         store.save_vectors(encoded)
         store.save_metadata(model=settings.model, dimension=settings.dimension, vector_count=store.vectors().count())
@@ -117,12 +117,15 @@ def search_store(store: Store, queries: DataFrame, load_encoder: Callable, k: in
     return relational.enrich(hits, store.chunks())
 
 
-def ask(store: Store, queries: DataFrame, load_encoder: Callable, chat: Callable, settings: Settings | None = None) -> DataFrame:
-    """Answers with their sources: hybrid candidates, re-ranked if set so, a prompt of the best, one chat call a query."""
+def ask(store: Store, queries: DataFrame, load_encoder: Callable, chat: Callable, settings: Settings | None = None, scorer: Callable | None = None) -> DataFrame:
+    """Answers with their sources: hybrid candidates, re-ranked if set so, a prompt of the best, one chat call a query.
+
+    ``scorer`` makes a column of a query and a text column, such as :func:`rerank.model_score`; without one the shared words count.
+    """
     settings = (settings or Settings()).check()
     width = settings.rerank_candidates if settings.use_reranker else settings.context_chunks
     hits = search_store(store, queries, load_encoder, width, settings).join(queries, "query_id")
-    best = rerank.rerank(hits, settings.context_chunks) if settings.use_reranker else hits.where(F.col("rank") <= settings.context_chunks)
+    best = rerank.rerank(hits, settings.context_chunks, scorer or rerank.overlap_score) if settings.use_reranker else hits.where(F.col("rank") <= settings.context_chunks)
     best = materialize(best.select("query_id", "query", "rank", "doc_id", "title", "url", "text", "score"), "passages")
     answers = rerank.answer(rerank.prompts(best), chat)
     sources = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title", "url", "score"))).alias("sources"))

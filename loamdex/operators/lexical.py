@@ -38,13 +38,19 @@ def tokenized(df: DataFrame, doc: str, text: str, stem: bool = True) -> DataFram
     return raw.withColumn("tokens", stemmed(F.col("tokens"))) if stem else raw
 
 
-def term_counts(tokens_df: DataFrame) -> DataFrame:
-    """(doc_id, term, tf).
+def term_counts(tokens_df: DataFrame, stem: bool = False) -> DataFrame:
+    """(doc_id, term, tf), of stems if ``stem`` is set and the tokens are not stemmed yet.
 
     Rows of a document lie together, so the count combines on the map side and
-    the shuffle carries one row for each document and term.
+    the shuffle carries one row for each document and term.  The stemmer sees
+    each different term once; terms that share a stem are added up again.
     """
-    return tokens_df.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counts = tokens_df.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    if not stem:
+        return counts
+    kept = materialize(counts, "raw-counts")
+    stems, n = counted(kept.select("term").distinct().withColumn("stem", F.element_at(stemmed(F.array("term")), 1)), "stems")
+    return join_bounded(kept, stems, "term", n).groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def doc_lengths(tokens_df: DataFrame) -> DataFrame:
@@ -78,9 +84,9 @@ def require_unique(df: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def build_index(df: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = True) -> Index:
     """The index of a table of documents; texts without tokens are left out."""
-    toks = tokenized(df, doc, text, stem)
+    toks = tokenized(df, doc, text, stem=False)
     lengths = doc_lengths(toks)
-    return Index(term_counts(toks), lengths, corpus_stats(lengths))
+    return Index(term_counts(toks, stem), lengths, corpus_stats(lengths))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -95,6 +101,10 @@ def bm25(tf: Column, length: Column, avgdl: Column, df: Column, n: Column, k1: f
     return F.when((tf > 0) & (df > 0) & (n > 0), score).otherwise(0.0)
 
 
+#: Query terms up to which they are pushed down to the scan of the postings.
+FEW_TERMS = 100
+
+
 def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     """(query_id, term, qtf) of a batch of (query_id, query)."""
     found = analyse(F.col("query")) if stem else tokens(F.col("query"))
@@ -110,7 +120,10 @@ def score_terms(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75
     row.
     """
     terms, n = counted(terms, "query-terms")
-    hit = materialize(join_bounded(index.postings, terms.select("term").distinct(), "term", n, "left_semi").select("term", "doc_id", "tf"), "pruned-postings")
+    few = [r[0] for r in terms.select("term").distinct().collect()] if n <= FEW_TERMS else None
+    # a list of literals reaches the scan, where postings that lie sorted by term are skipped by row group
+    pruned = index.postings.where(F.col("term").isin(few)) if few is not None else join_bounded(index.postings, terms.select("term").distinct(), "term", n, "left_semi")
+    hit = materialize(pruned.select("term", "doc_id", "tf"), "pruned-postings")
     weighted = terms.join(doc_freq(hit), "term")
     rows = join_bounded(hit, weighted, "term", n).join(index.lengths.select("doc_id", "doc_length"), "doc_id").crossJoin(F.broadcast(index.stats))
     score = bm25(F.col("tf"), F.col("doc_length"), F.col("average_document_length"), F.col("doc_freq"), F.col("total_documents"), k1, b)
@@ -138,13 +151,14 @@ def search(index: Index, queries: DataFrame, k: int = 20, k1: float = 1.5, b: fl
     return top_k(score_terms(index, query_terms(queries, stem), k1, b), k, digits)
 
 
-def running_stats(lengths: DataFrame, buckets: int = 64) -> DataFrame:
+def running_stats(lengths: DataFrame, buckets: int | None = None) -> DataFrame:
     """Statistics after each document in doc_id order: running count, sum and mean.
 
     Two levels, so that no single task holds all documents: ranges of doc_id
     are summed first, the sums of what lies before each range are added to the
     running sums within it.
     """
+    buckets = buckets or int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(lengths.repartitionByRange(buckets, "doc_id").withColumn("_p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_p").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("n", F.count(F.lit(1)).over(inside)).withColumn("total", F.sum(F.col("doc_length").cast("long")).over(inside))

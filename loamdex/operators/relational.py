@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.runtime import join_bounded
+from loamdex.runtime import counted, join_bounded
 
 
 def enrich(hits: DataFrame, chunks: DataFrame, hit_id: str = "doc_id", chunk_id: str = "chunk_id", n_hits: int | None = None) -> DataFrame:
@@ -53,9 +53,10 @@ def upsert(rows: DataFrame, stored: DataFrame, key: str, version: str) -> DataFr
 
 def by_ids(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Batch lookup: one row for each known id asked for."""
-    return chunks.join(F.broadcast(ids.select(key).distinct()), key, "left_semi")
+    asked, n = counted(ids.select(key).distinct(), "asked")
+    return join_bounded(chunks, asked, key, n, "left_semi")
 
 
-def without_segments(rows: DataFrame, segments: list[str]) -> DataFrame:
+def without_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows of the segments that stay."""
-    return rows.where(~F.col("segment_id").isin(segments)) if segments else rows
+    return rows.join(segments.select("segment_id"), "segment_id", "left_anti")

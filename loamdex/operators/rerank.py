@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.config import Settings
 from loamdex.functions.text import tokens
 
 PairScorer = Callable[[list[str], list[str]], list[float]]
@@ -54,20 +56,41 @@ def prompts(passages: DataFrame, system: str = SYSTEM_MESSAGE) -> DataFrame:
     """(query_id, query, messages) from (query_id, query, rank, title, url, text).
 
     A block for each passage in rank order, numbered from 1: title, source and
-    text, separated by a rule; then the question.  The array is bounded by the
+    text, a null one being empty, separated by a rule; then the question.  The array is bounded by the
     number of passages a query may have.
     """
     parts = F.array_sort(F.collect_list(F.struct("rank", "title", "url", "text")))
     grouped = passages.groupBy("query_id", "query").agg(parts.alias("_p"))
 
     def block(p: Column, i: Column) -> Column:
-        return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p["title"], F.lit("\nSource: "), p["url"], F.lit("\n\n"), p["text"])
+        said = {name: F.coalesce(p[name], F.lit("")) for name in ("title", "url", "text")}
+        return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), said["title"], F.lit("\nSource: "), said["url"], F.lit("\n\n"), said["text"])
 
     user = F.concat(F.lit(CONTEXT), F.array_join(F.transform("_p", block), RULE), F.lit(RULE + QUESTION), F.col("query"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return grouped.select("query_id", "query", F.array(message("system", F.lit(system)), message("user", user)).alias("messages"))
 
 
+def http_chat(url: str, settings: Settings, key: str = "", timeout: float = 60.0) -> Callable[[list[dict]], dict]:
+    """A chat function over HTTP that sends messages, model and temperature as JSON; an answer without text, or later than ``timeout`` seconds, is an error."""
+    model, temperature = settings.model, settings.temperature
+
+    def chat(messages: list[dict]) -> dict:
+        import urllib.request
+
+        body = json.dumps({"model": model, "temperature": temperature, "messages": messages}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}))
+        with urllib.request.urlopen(request, timeout=timeout) as response:
+            got = json.loads(response.read())
+        text = (((got.get("choices") or [{}])[0].get("message")) or {}).get("content")
+        if not text:
+            raise ValueError("the model gave no answer")
+        used = got.get("usage") or {}
+        return {"answer": text, "model": got.get("model", model), "prompt_tokens": used.get("prompt_tokens", 0), "completion_tokens": used.get("completion_tokens", 0)}
+
+    return chat
+
+
 def answer(messages: DataFrame, chat: Callable[[list[dict]], dict]) -> DataFrame:
     """(query_id, answer, model, prompt_tokens, completion_tokens) of prompts sent to a chat function.
 

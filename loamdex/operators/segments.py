@@ -36,36 +36,37 @@ def segment_terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("segment_id", "term").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
+def oldest(names: list[str], most: int) -> list[str]:
+    """Of segments, oldest first, the oldest max(2, count - most + 1) if there are more than ``most``; else none."""
+    if most < 2:
+        raise ValueError("at least two segments must be allowed")
+    return names[: max(2, len(names) - most + 1)] if len(names) > most else []
+
+
 def merge_candidates(segments: DataFrame, most: int) -> DataFrame:
-    """The oldest max(2, count - most + 1) segments by name if there are more than ``most``; else none.
+    """(segment_id): the oldest max(2, count - most + 1) segments by name if there are more than ``most``; else none.
 
-    The list of segments is metadata, one row each, so one window over it is small.
+    Names are ranked by range, so no task sorts all of them.
     """
     if most < 2:
         raise ValueError("at least two segments must be allowed")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    order = F.row_number().over(Window.orderBy("segment_id"))
-    ranked = segments.select("segment_id").distinct().withColumn("_n", n).withColumn("_r", order)
-    return ranked.where((F.col("_n") > most) & (F.col("_r") <= F.greatest(F.lit(2), F.col("_n") - most + 1))).select("segment_id")
-
-
-def merge(postings: DataFrame, lengths: DataFrame, sources: list[str], target: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of one segment made of several; fewer than two give nothing, a document in two is an error."""
-    picked = lengths.where(F.col("segment_id").isin(sources))
-    if len(set(sources)) < 2:
-        return postings.limit(0), lengths.limit(0)
-    twice = picked.groupBy("doc_id").count().where("count > 1").limit(1).collect()
+    from loamdex.operators.dense import positions
+
+    ranked = positions(segments.select(F.col("segment_id").alias("doc_id")).distinct())
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    kept = ranked.crossJoin(F.broadcast(n)).where((F.col("_n") > most) & (F.col("position") < F.greatest(F.lit(2), F.col("_n") - most + 1)))
+    return kept.select(F.col("doc_id").alias("segment_id"))
+
+
+def merge(postings: DataFrame, lengths: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of one segment made of several; a document in two of them is an error."""
+    twice = lengths.groupBy("doc_id").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"document {twice[0]['doc_id']!r} is in more than one segment")
-    chosen = postings.where(F.col("segment_id").isin(sources))
-    return chosen.withColumn("segment_id", F.lit(target)), picked.withColumn("segment_id", F.lit(target))
+    return postings.withColumn("segment_id", F.lit(target)), lengths.withColumn("segment_id", F.lit(target))
 
 
 def top_terms(postings: DataFrame, n: int) -> DataFrame:
-    """The n terms with most postings, with the postings nested and sorted by document: (term, doc_freq, postings).
-
-    Only for display; the flat rows are the index.
-    """
+    """(term, doc_freq, doc_id, tf): the postings of the n terms with most of them; flat rows, since a common term has as many as there are documents."""
     freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")).orderBy(F.desc("doc_freq"), "term").limit(n)
-    rows = postings.join(F.broadcast(freq), "term")
-    return rows.groupBy("term", "doc_freq").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+    return postings.join(F.broadcast(freq), "term").select("term", "doc_freq", "doc_id", "tf")

@@ -109,7 +109,7 @@ ORACLES: dict[str, str] = {
         WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)""",
     "doc_freq": f"WITH {_TOKS}, {_POST} SELECT term, count(*) AS doc_freq FROM post GROUP BY term",
     "inverted_index_top_terms": f"""WITH {_TOKS}, {_POST}, {_FREQ}, top AS (SELECT * FROM freq ORDER BY df DESC, term LIMIT 50)
-        SELECT term, df AS doc_freq, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id, tf) AS postings FROM top JOIN post USING (term) GROUP BY term, df""",
+        SELECT term, df AS doc_freq, doc_id, tf FROM top JOIN post USING (term)""",
     "duplicate_documents": "SELECT chunk_id AS doc_id, count(*) AS n FROM chunks GROUP BY chunk_id HAVING count(*) > 1",
     "bm25_idf": f"WITH {_INDEX} SELECT term, round({_IDF}, 6) AS idf FROM freq, stats",
     "bm25_single": f"""WITH {_INDEX}, q AS (SELECT 1::BIGINT AS query_id, 'set the default timeout of the cache when the default lock fails' AS query), {_terms()},
@@ -123,6 +123,9 @@ ORACLES: dict[str, str] = {
     "dense_self_knn": f"""WITH n AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings),
         u AS (SELECT doc_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM n),
         s AS (SELECT w.doc_id AS query_id, v.doc_id, {_PRODUCT} AS score FROM u v, u w WHERE w.doc_id % 100 = 0), {_ranked('hits', 's', 11)} SELECT * FROM hits""",
+    "dense_cosine": f"""WITH {_VECS}, u AS (SELECT doc_id, id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM vecs),
+        s AS (SELECT w.id AS query_id, v.doc_id, {_PRODUCT} AS score FROM u v, u w WHERE w.id % 100 = 0), {_ranked('hits', 's', 10)} SELECT * FROM hits""",
+    "ivf_recall": "SELECT true AS nine_in_ten",
     "vector_positions": "SELECT row_number() OVER (ORDER BY id) - 1 AS position, id AS doc_id FROM vector_documents",
     "rrf_two_lists": _two_lists((1.0, 1.0)),
     "rrf_weighted": _two_lists((0.3, 0.7)),
@@ -147,8 +150,13 @@ ORACLES: dict[str, str] = {
     "segments_build": f"{_SEG} {_SEG_STATS} FROM slens GROUP BY segment_id",
     "segment_terms": f"{_SEG} SELECT segment_id, term, count(DISTINCT doc_id) AS doc_freq FROM (SELECT segment_id, doc_id, unnest(tokens) AS term FROM seg) GROUP BY segment_id, term",
     "segment_merge_candidates": f"{_SEG}, {_OLD} SELECT segment_id FROM old",
-    "segment_merge_stats": f"""{_SEG}, {_OLD}, moved AS (SELECT CASE WHEN segment_id IN (SELECT segment_id FROM old) THEN 'merged' ELSE segment_id END AS segment_id, doc_length FROM slens)
-        {_SEG_STATS} FROM moved GROUP BY segment_id""",
+    "segment_merge_stats": f"""{_SEG}, {_OLD}, moved AS (SELECT CASE WHEN segment_id IN (SELECT segment_id FROM old) THEN 'merged' ELSE segment_id END AS segment_id, doc_id, doc_length FROM slens),
+        t AS (SELECT doc_id, unnest(tokens) AS term FROM seg), c AS (SELECT m.segment_id, count(DISTINCT (t.doc_id, t.term)) AS postings, count(*)::BIGINT AS tf_sum FROM t JOIN moved m USING (doc_id) GROUP BY m.segment_id)
+        SELECT s.*, postings, tf_sum FROM ({_SEG_STATS} FROM moved GROUP BY segment_id) s JOIN c USING (segment_id)""",
+    "store_merge": f"WITH {_TOKS}, {_POST} SELECT term, count(*) AS doc_freq, sum(tf)::BIGINT AS tf_sum, 5::BIGINT AS segments FROM post GROUP BY term",
+    "store_delete": f"""WITH {_TOKS}, {_POST}, placed AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // greatest(1, ceil(count(*) OVER () / 8)::BIGINT) AS s FROM lens)
+        SELECT doc_id, term, tf, (SELECT count(*) FROM placed WHERE s > 0) AS documents_left FROM post JOIN placed USING (doc_id) WHERE s = 1""",
+    "bm25_stored": f"WITH {_HITS} SELECT * FROM hits",
     "list_sources": "SELECT source_id, source_name, max_depth::BIGINT AS max_depth, use_browser_fallback, array_to_string(seed_urls, ' ') AS seeds FROM source_configs",
     "crawl_reach": """WITH RECURSIVE edges AS (SELECT src, dst FROM (SELECT doc_id AS src, unnest([doc_id * 2, doc_id * 2 + 1, doc_id // 3]) AS dst FROM documents) WHERE dst IN (SELECT doc_id FROM documents)),
         r AS (SELECT doc_id AS node, 0 AS depth FROM documents WHERE doc_id IN (5, 7) UNION SELECT dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 6)
@@ -156,8 +164,8 @@ ORACLES: dict[str, str] = {
     "rerank_overlap": f"""WITH {_HITS}, s AS (SELECT h.query_id, h.doc_id, list_distinct({_tokens('q.query')}) AS a, {_tokens('d.text')} AS b FROM hits h JOIN q USING (query_id) JOIN documents d USING (doc_id)),
         o AS (SELECT query_id, doc_id, CASE WHEN len(a) > 0 THEN round(len(list_filter(a, lambda x: list_contains(b, x))) / len(a), 6) ELSE 0.0 END AS score FROM s), {_ranked('r', 'o', 5)} SELECT * FROM r""",
     "prompt_messages": f"""WITH {_HITS}, b AS (SELECT h.query_id, h.rank, title, url, d.text, query,
-          row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS i FROM hits h JOIN documents d USING (doc_id) JOIN q USING (query_id) WHERE h.rank <= 3 AND title IS NOT NULL AND url IS NOT NULL)
-        SELECT query_id, E'Contexto de la documentación:\\n\\n' || string_agg('[' || i || '] ' || title || E'\\nSource: ' || url || E'\\n\\n' || text, E'\\n\\n---\\n\\n' ORDER BY rank)
+          row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS i FROM hits h JOIN documents d USING (doc_id) JOIN q USING (query_id) WHERE h.rank <= 3)
+        SELECT query_id, E'Contexto de la documentación:\\n\\n' || string_agg('[' || i || '] ' || coalesce(title, '') || E'\\nSource: ' || coalesce(url, '') || E'\\n\\n' || coalesce(text, ''), E'\\n\\n---\\n\\n' ORDER BY rank)
           || E'\\n\\n---\\n\\nPregunta: ' || any_value(query) AS content FROM b GROUP BY query_id""",
     "stream_index": f"WITH {_TOKS}, {_STATS} SELECT n AS total_documents, total::BIGINT AS total_terms, round(avgdl, 6) AS average_document_length FROM stats",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -171,10 +171,8 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def inverted_index_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 most frequent terms with their postings."""
-    got = segments.top_terms(lexical.term_counts(_tokenized(spark, d)), 50)
-    pair = lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), p["tf"].cast("string"))
-    return got.select("term", "doc_freq", F.array_join(F.transform("postings", pair), " ").alias("postings"))
+    """The postings of the 50 most frequent terms."""
+    return segments.top_terms(lexical.term_counts(_tokenized(spark, d)), 50)
 
 
 @query
@@ -185,9 +183,9 @@ def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
 
 # lexical search ----------------------------------------------------------
 def _index(spark: SparkSession, d: str, stem: bool = False) -> lexical.Index:
-    toks = materialize(lexical.tokenized(_docs(spark, d), "doc_id", "text", stem), "tokens")
+    toks = materialize(lexical.tokenized(_docs(spark, d), "doc_id", "text", stem=False), "tokens")
     lengths = lexical.doc_lengths(toks)
-    return lexical.Index(lexical.term_counts(toks), lengths, lexical.corpus_stats(lengths))
+    return lexical.Index(lexical.term_counts(toks, stem), lengths, lexical.corpus_stats(lengths))
 
 
 @query
@@ -253,11 +251,29 @@ def dense_self_knn(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    """V5, V7: the same as dense_topk over inverted lists."""
-    v = materialize(dense.normalize(_vectors(spark, d)), "unit")
-    queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """V5, V7: dense_cosine over inverted lists."""
+    v, queries = _unit_vectors(spark, d)
     lists = dense.InvertedLists.fit(v, 64)
-    return lists.search(lists.index(v), queries, 10, 8)
+    return lists.search(lists.index(v), queries, 10, 12, DIGITS)
+
+
+def _unit_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = materialize(dense.normalize(_vectors(spark, d)), "unit")
+    return v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query
+def dense_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """V2, V8: the ten vectors most similar to each vector query by cosine."""
+    v, queries = _unit_vectors(spark, d)
+    return dense.exact_top_k(v, queries, 10, DIGITS)
+
+
+@query
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """V7: whether inverted lists find nine in ten of what the exact search finds, by rank 10."""
+    both = ivf_topk(spark, d).select("query_id", "doc_id", F.lit(1).alias("found")).join(dense_cosine(spark, d).select("query_id", "doc_id"), ["query_id", "doc_id"], "right")
+    return both.agg((F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"))
 
 
 @query
@@ -395,13 +411,52 @@ def segment_merge_stats(spark: SparkSession, d: str) -> DataFrame:
     """Segments after one merge, with recomputed statistics."""
     postings, lengths = _segmented(spark, d)
     lengths = materialize(lengths, "lengths")
-    old = [r[0] for r in segments.merge_candidates(lengths.select("segment_id"), 5).collect()]  # names of segments
-    if len(old) < 2:
-        return segments.segment_stats(lengths).withColumn("avg_doc_length", F.round("avg_doc_length", DIGITS))
-    merged = segments.merge(postings, lengths, old, "merged")[1]
-    kept = relational.without_segments(lengths, old)
-    got = segments.segment_stats(kept.unionByName(merged))
-    return got.withColumn("avg_doc_length", F.round("avg_doc_length", DIGITS))
+    postings = materialize(postings, "postings")
+    old = materialize(segments.merge_candidates(lengths.select("segment_id"), 5), "old")
+    chosen = [rows.join(old, "segment_id", "left_semi") for rows in (postings, lengths)]
+    merged = segments.merge(*chosen, "merged")
+    kept = [relational.without_segments(rows, old).unionByName(new) for rows, new in zip((postings, lengths), merged)]
+    got = segments.segment_stats(kept[1]).withColumn("avg_doc_length", F.round("avg_doc_length", DIGITS))
+    counts = kept[0].groupBy("segment_id").agg(F.count(F.lit(1)).alias("postings"), F.sum(F.col("tf").cast("long")).alias("tf_sum"))
+    return got.join(counts, "segment_id")
+
+
+def _stored_segments(spark: SparkSession, d: str, parts: int = 8) -> tuple[Store, list[str]]:
+    """A store with the documents in ``parts`` segments, by order of doc_id."""
+    toks = _tokenized(spark, d)
+    named = materialize(segments.assign_segments(toks, max(1, -(-toks.count() // parts))), "segmented")
+    store = _fresh_store(spark)
+    names = sorted(r[0] for r in named.select("segment_id").distinct().collect())  # ``parts`` names
+    each = [named.where(F.col("segment_id") == n) for n in names]
+    store.write_segments([(lexical.term_counts(p), lexical.doc_lengths(p)) for p in each], names)
+    return store, names
+
+
+@query
+def store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies and counts of an index that was stored in eight segments and merged to five."""
+    store, _ = _stored_segments(spark, d)
+    store.merge_segments(5)
+    index = store.load_index()
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum(F.col("tf").cast("long")).alias("tf_sum")).crossJoin(
+        F.broadcast(spark.createDataFrame([(len(store.list_segments()),)], "segments long"))
+    )
+
+
+@query
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the second stored segment, read by itself after the first was deleted, with the documents left in the index."""
+    store, names = _stored_segments(spark, d)
+    store.delete_segment(names[0])
+    left = store.load_index().stats.select(F.col("total_documents").alias("documents_left"))
+    return store.read_segment(names[1])[0].select(F.col("doc_id").cast("long").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf")).crossJoin(F.broadcast(left))
+
+
+@query
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """L1, L3: bm25_batch from a stored index."""
+    hits = lexical.search(_stored_segments(spark, d)[0].load_index(), _items(spark, d), 50, stem=False, digits=DIGITS)
+    return lexical.top_k(hits.select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "score"), 20)
 
 
 # crawl and scrape --------------------------------------------------------
@@ -471,7 +526,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
     """The user message for every held-out item from its three best documents."""
-    best = _passages(spark, d).where("rank <= 3 and title is not null and url is not null")
+    best = _passages(spark, d).where("rank <= 3")
     got = rerank.prompts(best.select("query_id", "query", "rank", "title", "url", "text"))
     return got.select("query_id", F.element_at("messages", 2)["content"].alias("content"))
 
@@ -482,8 +537,11 @@ def _echo(messages: list[dict]) -> dict:
 
 @query
 def rag_answers(spark: SparkSession, d: str) -> DataFrame:
-    """One call of a stub model for every held-out item."""
-    best = _passages(spark, d).where("rank <= 3")
+    """Every chunk title of hybrid_search asked: hybrid hits, re-ranked, the three best in a prompt, one call of a stub model."""
+    hits, n = counted(hybrid_over_chunks(spark, d, 30), "hits")
+    chunks = _chunks(spark, d).where(F.col("text").isNotNull()).select("chunk_id", "title", "url", "text")
+    asked = _vectors(spark, d).where("id % 100 = 0").join(chunks, F.col("doc_id") == F.col("chunk_id")).select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    best = rerank.rerank(relational.enrich(hits, chunks, n_hits=n).join(asked, "query_id"), 3)
     return rerank.answer(rerank.prompts(best.select("query_id", "query", "rank", "title", "url", "text")), _echo)
 
 

@@ -2,7 +2,7 @@
 
 Nothing here collects data.  The helpers exist so that every operator takes the
 same decisions about lineage (:func:`materialize`), broadcasts
-(:func:`join_bounded`) and hot keys (:func:`salted_count`).
+(:func:`join_bounded`) and hot keys (:func:`frequent_keys`).
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it was counted.
-BROADCAST_ROWS = 400_000
+#: Rows, and bytes by the widths of its columns, up to which a side may be broadcast after it was counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 
 
 def get_session(app: str = "loamdex", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -117,11 +117,18 @@ def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small``, whose row count is known: broadcast within ``limit``.
+    """Join with ``small``, whose row count is known: broadcast within ``limit`` rows and ``BROADCAST_BYTES``.
 
-    Beyond the limit the join shuffles; AQE then splits skewed partitions.
+    Beyond that the join shuffles; AQE then splits skewed partitions.
     """
-    return big.join(F.broadcast(small), on, how) if rows <= limit else big.join(small.hint("merge"), on, how)
+    fits = rows <= limit and rows * width_of(small) <= BROADCAST_BYTES
+    return big.join(F.broadcast(small), on, how) if fits else big.join(small.hint("merge"), on, how)
+
+
+def width_of(df: DataFrame) -> int:
+    """Bytes that a row may take in memory: 16 for a number, 256 for a text, 4096 for arrays, binaries and structs."""
+    simple = {"string": 256, "binary": 4096}
+    return sum(simple.get(kind, 4096 if "<" in kind else 16) for _, kind in df.dtypes)
 
 
 def frequent_keys(df: DataFrame, key: str, distinct: str, least: int) -> DataFrame:

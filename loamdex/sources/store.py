@@ -1,14 +1,20 @@
-"""Stored tables: parquet partitions that a JSON manifest publishes.
-
-A write puts its files under a fresh segment or batch name first; the manifest,
-replaced in one rename, makes them visible.  Readers resolve the manifest's
-names, so a failed write leaves nothing behind that a reader could see.  The
-root must be a file system that all executors share.
+"""Stored tables: parquet partitions that a numbered JSON manifest publishes.
+
+A write puts its files under a fresh name first; the next manifest, created
+under a number that must not exist yet, makes them visible.  Readers take the
+highest number, so that they see one state or the next and never none, and a
+failed write leaves nothing behind that a reader could see.  Of two writers
+that create the same number one fails, reads what the other published and
+applies its change to that, so that no update is lost; a change that no longer
+fits is an error and publishes nothing.  The root must be a file system that
+all executors share.
 """
 
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +36,57 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # manifest ------------------------------------------------------------
-    def manifest(self) -> dict:
-        """{"segments": [{...}], "batches": {table: [names]}, "meta": {...}}; empty before the first write."""
-        path = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(path):
-            return {"segments": [], "batches": {"chunks": [], "vectors": []}, "meta": {}}
-        stream = self._fs.open(path)
+    def _latest(self) -> int:
+        """Number of the newest manifest; 0 before the first write."""
+        folder = self._path(f"{self.root}/manifest")
+        if not self._fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _at(self, number: int) -> dict:
+        if number == 0:
+            return {"segments": [], "batches": {"chunks": [], "vectors": []}, "streams": {}, "meta": {}}
+        stream = self._fs.open(self._path(f"{self.root}/manifest/{number:012d}.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _publish(self, manifest: dict) -> None:
-        fresh, final = self._path(f"{self.root}/manifest.json.{segments.segment_name()}"), self._path(f"{self.root}/manifest.json")
+    def manifest(self) -> dict:
+        """{"segments": [{...}], "batches": {table: [names]}, "streams": {id: batch}, "meta": {...}}; empty before the first write."""
+        return self._at(self._latest())
+
+    def _create(self, number: int, manifest: dict) -> bool:
+        """Write a manifest whole under its number; False if the number is taken."""
+        folder = f"{self.root}/manifest"
+        self._fs.mkdirs(self._path(folder))
+        fresh, final = self._path(f"{folder}/.{segments.segment_name()}"), self._path(f"{folder}/{number:012d}.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(fresh, final)
+        try:
+            if self._fs.getUri().getScheme() == "file":  # a link fails if the name exists, in one step
+                os.link(fresh.toUri().getPath(), final.toUri().getPath())
+                return True
+            jvm = self.spark.sparkContext._jvm
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(fresh, final, none)
+            return True
+        except Exception:
+            if self._fs.exists(final):
+                return False
+            raise
+        finally:
+            self._fs.delete(fresh, False)
+
+    def _commit(self, change: Callable[[dict], dict]) -> None:
+        """Publish the newest manifest with a change; ``change`` raises if it does not fit what others published."""
+        while True:
+            number = self._latest()
+            if self._create(number + 1, change(self._at(number))):
+                return
 
     def _read(self, table: str, names: list[str]) -> DataFrame:
         if not names:
@@ -56,25 +94,53 @@ class Store:
         return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.root}/{table}/{n}" for n in names))
 
     # segments ------------------------------------------------------------
-    def write_segment(self, postings: DataFrame, lengths: DataFrame, name: str | None = None, replaces: list[str] = ()) -> str:
-        """Write postings (term, doc_id, tf) and lengths as one segment, in place of others if given."""
-        name = name or segments.segment_name()
-        relational_columns = [f.name for f in schemas.POSTING]
+    def _stage(self, postings: DataFrame, lengths: DataFrame, name: str) -> dict:
+        """Write the files of a segment; its entry for the manifest.  Postings lie sorted by term, so that searches skip row groups."""
         tag = F.lit(name).alias("segment_id")
-        postings.select(tag, "term", F.col("doc_id").cast("string"), F.col("tf").cast("int")).select(*relational_columns).write.mode("overwrite").parquet(f"{self.root}/postings/{name}")
+        rows = postings.select(tag, "term", F.col("doc_id").cast("string"), F.col("tf").cast("int"))
+        rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.root}/postings/{name}")
         lengths.select(tag, F.col("doc_id").cast("string"), F.col("doc_length").cast("int")).write.mode("overwrite").parquet(f"{self.root}/lengths/{name}")
         stats = lexical.corpus_stats(self._read("lengths", [name])).first()
-        entry = {
+        return {
             "segment_id": name,
             "created_at": datetime.now(UTC).isoformat(),
             "total_documents": stats[0],
             "total_terms": stats[1],
             "avg_doc_length": stats[2],
         }
-        manifest = self.manifest()
-        manifest["segments"] = [s for s in manifest["segments"] if s["segment_id"] not in {*replaces, name}] + [entry]
-        self._publish(manifest)
-        return name
+
+    def write_segment(self, postings: DataFrame, lengths: DataFrame, name: str | None = None, replaces: list[str] = ()) -> str:
+        """Write postings (term, doc_id, tf) and lengths as one segment, in place of others if given.
+
+        A name that is published already, and a replaced segment that is gone, are errors.
+        """
+        return self.write_segments([(postings, lengths)], [name or segments.segment_name()], replaces)[0]
+
+    def write_segments(self, parts: list[tuple[DataFrame, DataFrame]], names: list[str], replaces: list[str] = (), mark: tuple[str, int] | None = None) -> list[str]:
+        """Several segments in one commit; ``mark`` records the last batch of a stream with them, and a batch that is recorded already adds nothing."""
+
+        def done(manifest: dict) -> bool:
+            return mark is not None and manifest.get("streams", {}).get(mark[0], -1) >= mark[1]
+
+        if done(self.manifest()):
+            return []
+        if set(names) & {s["segment_id"] for s in self.manifest()["segments"]}:
+            raise ValueError("a segment of that name is published")
+        entries = [self._stage(postings, lengths, name) for (postings, lengths), name in zip(parts, names)]
+
+        def change(manifest: dict) -> dict:
+            known = {s["segment_id"] for s in manifest["segments"]}
+            if done(manifest):
+                return manifest
+            if set(replaces) - known or set(names) & known:
+                raise ValueError("the segments were changed by another writer")
+            manifest["segments"] = [s for s in manifest["segments"] if s["segment_id"] not in set(replaces)] + entries
+            if mark is not None:
+                manifest.setdefault("streams", {})[mark[0]] = mark[1]
+            return manifest
+
+        self._commit(change)
+        return names
 
     def list_segments(self) -> list[str]:
         """Names of the segments, oldest first."""
@@ -82,9 +148,7 @@ class Store:
 
     def delete_segment(self, name: str) -> None:
         """Unpublish a segment; its postings and lengths go with it."""
-        manifest = self.manifest()
-        manifest["segments"] = [s for s in manifest["segments"] if s["segment_id"] != name]
-        self._publish(manifest)
+        self._commit(lambda m: m | {"segments": [s for s in m["segments"] if s["segment_id"] != name]})
 
     def read_segment(self, name: str) -> tuple[DataFrame, DataFrame]:
         """(postings, lengths) of one segment: only its own files are read."""
@@ -100,31 +164,44 @@ class Store:
         """Merge the oldest segments until no more than ``most`` are left; the names of the new ones."""
         made = []
         while True:
-            rows = [(s,) for s in self.list_segments()]
-            names = [r[0] for r in segments.merge_candidates(self.spark.createDataFrame(rows, "segment_id string"), most).collect()] if rows else []
+            names = segments.oldest(self.list_segments(), most)
             if len(names) < 2:
                 return made
             target = segments.segment_name()
-            postings, lengths = segments.merge(self._read("postings", names), self._read("lengths", names), names, target)
+            postings, lengths = segments.merge(self._read("postings", names), self._read("lengths", names), target)
             made.append(self.write_segment(postings, lengths, target, names))
 
     # chunks and vectors ---------------------------------------------------
-    def _append(self, table: str, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")
-        manifest = self.manifest()
-        if name not in manifest["batches"][table]:
-            manifest["batches"][table].append(name)
-        self._publish(manifest)
+    def _append(self, table: str, make: Callable[[DataFrame], DataFrame], name: str) -> None:
+        """Add what ``make`` makes of the stored rows; made anew if another writer added rows meanwhile."""
+
+        class Moved(Exception):
+            pass
+
+        while True:
+            seen = self.manifest()["batches"][table]
+            if name in seen:  # a replay of what was published
+                return
+            make(self._read(table, seen)).write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")
+
+            def change(manifest: dict) -> dict:
+                if manifest["batches"][table] != seen:
+                    raise Moved
+                manifest["batches"][table] = [*seen, name]
+                return manifest
+
+            try:
+                return self._commit(change)
+            except Moved:
+                continue
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", self.manifest()["batches"]["chunks"])
 
     def save_chunks(self, rows: DataFrame, name: str | None = None) -> None:
         """Add chunks whose id is not stored yet; the first of a repeated id wins."""
-        name = name or segments.segment_name()
         full = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CHUNK))
-        others = self._read("chunks", [n for n in self.manifest()["batches"]["chunks"] if n != name])
-        self._append("chunks", relational.insert_ignore(full, others).select(*(f.name for f in schemas.CHUNK)), name)
+        self._append("chunks", lambda stored: relational.insert_ignore(full, stored).select(*(f.name for f in schemas.CHUNK)), name or segments.segment_name())
 
     def get_chunk(self, chunk_id: str) -> DataFrame:
         """The chunk of that id, or no row."""
@@ -135,16 +212,20 @@ class Store:
 
     def save_vectors(self, rows: DataFrame, name: str | None = None) -> None:
         """Add vectors; an id that is repeated or stored already is an error."""
-        name = name or segments.segment_name()
-        others = self._read("vectors", [n for n in self.manifest()["batches"]["vectors"] if n != name])
-        lexical.require_unique(rows.select("doc_id").unionByName(others.select("doc_id")))
-        self._append("vectors", rows.select("doc_id", "embedding", F.current_timestamp().alias("indexed_at")), name)
+
+        def make(stored: DataFrame) -> DataFrame:
+            lexical.require_unique(rows.select("doc_id").unionByName(stored.select("doc_id")))
+            return rows.select("doc_id", "embedding", F.current_timestamp().alias("indexed_at"))
+
+        self._append("vectors", make, name or segments.segment_name())
+
+    def doc_exists(self, doc_id: str) -> bool:
+        """Whether a vector of that id is stored."""
+        return not self.vectors().where(F.col("doc_id") == doc_id).limit(1).isEmpty()
 
     def save_metadata(self, **values) -> None:
         """Replace the single metadata row; the last write wins."""
-        manifest = self.manifest()
-        manifest["meta"] = values
-        self._publish(manifest)
+        self._commit(lambda m: m | {"meta": values})
 
     def load_metadata(self) -> dict | None:
         """The metadata row, or None."""

@@ -1,14 +1,16 @@
 """Micro-batch ingestion of documents into a store.
 
-The count trigger of a buffered index becomes a limit on what a micro-batch
-takes in, the time trigger a processing-time trigger.  A batch writes under a
-name made of its batch id, so a replay after a failure replaces its own output,
-and rows that are stored already are left out: exactly-once results from
-at-least-once batches.
+The time trigger of a buffered index becomes a processing-time trigger, the
+count trigger a cut of each micro-batch into segments of ``buffer_docs``
+documents; segments beyond ``max_segments`` are merged after each flush.  A
+stream has an id, kept beside its checkpoint, and a commit of segments records
+the batch they came from, so that a replay after a failure adds nothing and
+streams do not meet in names.  Documents that are stored already are left out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from loamdex.config import Settings
-from loamdex.operators import dense, lexical
-from loamdex.runtime import blank, materialize
+from loamdex.operators import dense, lexical, segments
+from loamdex.runtime import blank, counted, materialize
 from loamdex.sources.store import Store
 
 
@@ -27,18 +29,44 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def index_batch(store: Store, batch: DataFrame, batch_id: int, settings: Settings, load_encoder: Callable | None = None) -> None:
-    """Add one micro-batch of (doc_id, text): a segment, and vectors if there is an encoder."""
-    name = f"batch-{batch_id:012d}"
-    others = [s for s in store.list_segments() if s != name]
-    known = store._read("lengths", others).select("doc_id")
-    rows = batch.select(F.col("doc_id").cast("string"), "text").where(~blank(F.col("text"))).dropDuplicates(["doc_id"])
-    toks = materialize(lexical.tokenized(rows.join(known, "doc_id", "left_anti"), "doc_id", "text"), "tokens")
-    if not toks.isEmpty():
-        store.write_segment(lexical.term_counts(toks), lexical.doc_lengths(toks), name)
-    if load_encoder is not None:
-        kept = store._read("vectors", [n for n in store.manifest()["batches"]["vectors"] if n != name]).select("doc_id")
-        fresh = materialize(dense.encode(rows.join(kept, "doc_id", "left_anti"), "text", load_encoder, settings.dimension).select("doc_id", "embedding"), "encoded")
+def stream_id(store: Store, checkpoint: str) -> str:
+    """The id of the stream with that checkpoint folder, made when the folder is new."""
+    jvm = store.spark.sparkContext._jvm
+    path = store._path(f"{checkpoint.rstrip('/')}-stream-id")
+    fs = path.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
+    started = fs.exists(store._path(f"{checkpoint.rstrip('/')}/metadata"))
+    if not (fs.exists(path) and started):  # a lost checkpoint starts its batches anew, so it must not keep the id
+        out = fs.create(path, True)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def index_batch(store: Store, batch: DataFrame, batch_id: int, stream: str, settings: Settings, load_encoder: Callable | None = None) -> None:
+    """Add one micro-batch of (doc_id, text): segments, and vectors if there is an encoder."""
+    name = f"{stream}-{batch_id:012d}"
+    if store.manifest().get("streams", {}).get(stream, -1) < batch_id:
+        known = store.load_index().lengths.select("doc_id")
+        rows = batch.select(F.col("doc_id").cast("string"), "text").where(~blank(F.col("text"))).dropDuplicates(["doc_id"])
+        toks, n = counted(lexical.tokenized(rows.join(known, "doc_id", "left_anti"), "doc_id", "text", stem=False), "tokens")
+        cuts = -(-n // settings.buffer_docs)
+        if cuts > 1:
+            toks = materialize(segments.assign_segments(toks, settings.buffer_docs), "flushed")
+            parts = [toks.where(F.col("segment_id") == F.format_string("seg-%09d", F.lit(i))) for i in range(cuts)]
+        else:
+            parts = [toks] if n else []
+        if parts:
+            pairs = [(lexical.term_counts(p, stem=True), lexical.doc_lengths(p)) for p in parts]
+            store.write_segments(pairs, [f"{name}-{i:06d}" for i in range(cuts)], mark=(stream, batch_id))
+    store.merge_segments(settings.max_segments)
+    if load_encoder is not None and name not in store.manifest()["batches"]["vectors"]:
+        rows = batch.select(F.col("doc_id").cast("string"), "text").where(~blank(F.col("text"))).dropDuplicates(["doc_id"])
+        new = rows.join(store.vectors().select("doc_id"), "doc_id", "left_anti")
+        fresh = materialize(dense.encode(new, "text", load_encoder, settings.dimension, batch=settings.vector_batch).select("doc_id", "embedding"), "encoded")
         if not fresh.isEmpty():
             store.save_vectors(fresh, name)
 
@@ -53,7 +81,8 @@ def index_stream(
 ) -> StreamingQuery:
     """Run the stream into the store: every ``flush_seconds``, or all that is there and stop with ``drain``."""
     settings = (settings or Settings()).check()
-    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: index_batch(store, batch, batch_id, settings, load_encoder)).option("checkpointLocation", checkpoint)
+    own = stream_id(store, checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: index_batch(store, batch, batch_id, own, settings, load_encoder)).option("checkpointLocation", checkpoint)
     trigger = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{settings.flush_seconds} seconds")
     return trigger.start()
 

@@ -129,6 +129,9 @@ def test_rerank_and_prompt(spark):
     assert messages[0]["role"] == "system"
     assert messages[1]["content"].startswith("Contexto de la documentación:\n\n[1] B\nSource: ub\n\na cache lock\n\n---\n\n[2] A\n")
     assert messages[1]["content"].endswith("\n\n---\n\nPregunta: q lock cache")
+    gaps = spark.createDataFrame([(1, "q", 1, None, "u", "text"), (1, "q", 2, "T", None, None)], "query_id long, query string, rank int, title string, url string, text string")
+    said = rerank.prompts(gaps).first()["messages"][1]["content"]
+    assert "[1] \nSource: u\n\ntext\n\n---\n\n[2] T\nSource: \n\n\n\n---\n\nPregunta: q" in said
     got = rerank.answer(rerank.prompts(best), lambda m: {"answer": str(len(m)), "model": "stub"}).first()
     assert (got["answer"], got["prompt_tokens"]) == ("2", 0)
 

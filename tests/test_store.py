@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,7 +140,8 @@ def test_stream_equals_batch_and_a_replay_changes_nothing(spark, store, tmp_path
     index_stream.index_stream(store, stream, f"file://{tmp_path}/cp", settings, dense.hashing_encoder(8), drain=True).awaitTermination()
     assert store.load_index().lengths.count() == 30 and store.vectors().count() == 30
     before = store.load_index().stats.first()
-    index_stream.index_batch(store, df, 0, settings, dense.hashing_encoder(8))
+    index_stream.index_batch(store, df, 0, index_stream.stream_id(store, f"file://{tmp_path}/cp"), settings, dense.hashing_encoder(8))
+    index_stream.index_batch(store, df, 9, "another", settings, dense.hashing_encoder(8))
     assert store.load_index().stats.first()["total_documents"] == before["total_documents"]
     assert store.load_index().postings.groupBy("term", "doc_id").count().where("count > 1").count() == 0
 
@@ -187,3 +189,91 @@ def test_pipeline_fills_both_indexes_from_all_sources_and_a_second_run_adds_noth
     for a, b in zip(first, second):
         assert (b["pages"], b["documents"], b["chunks"]) == (a["pages"], a["documents"], a["chunks"])
         assert (b["new_chunks"], b["lexical"], b["vectors"]) == (0, 0, 0)
+
+
+def drain(spark, store, folder, checkpoint, settings=None):
+    stream = index_stream.read_stream(spark, folder, spark.read.parquet(folder).schema)
+    index_stream.index_stream(store, stream, checkpoint, settings, drain=True).awaitTermination()
+
+
+def test_two_streams_and_a_lost_checkpoint_keep_all_documents(spark, store, tmp_path):
+    for n in range(2):
+        rows = [(f"s{n}d{i}", f"words of stream {n} number{i}") for i in range(10)]
+        spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"file://{tmp_path}/in{n}")
+        drain(spark, store, f"file://{tmp_path}/in{n}", f"file://{tmp_path}/cp{n}")
+    assert store.load_index().lengths.count() == 20
+    shutil.rmtree(tmp_path / "cp0")
+    more = spark.createDataFrame([(f"late{i}", f"later words {i}") for i in range(5)], "doc_id string, text string")
+    more.write.mode("append").parquet(f"file://{tmp_path}/in0")
+    drain(spark, store, f"file://{tmp_path}/in0", f"file://{tmp_path}/cp0")
+    index = store.load_index()
+    assert index.lengths.count() == 25 and index.lengths.select("doc_id").distinct().count() == 25
+
+
+def test_a_stream_flushes_by_count_and_merges(spark, store, tmp_path):
+    rows = [(f"d{i:02d}", f"word{i} shared") for i in range(23)]
+    spark.createDataFrame(rows, "doc_id string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    drain(spark, store, f"file://{tmp_path}/in", f"file://{tmp_path}/cp", Settings(buffer_docs=5, max_segments=50))
+    assert [s["total_documents"] for s in store.manifest()["segments"]] == [5, 5, 5, 5, 3]
+    spark.createDataFrame([("x", "one more")], "doc_id string, text string").write.mode("append").parquet(f"file://{tmp_path}/in")
+    drain(spark, store, f"file://{tmp_path}/in", f"file://{tmp_path}/cp", Settings(buffer_docs=5, max_segments=3))
+    assert len(store.list_segments()) <= 3 and store.load_index().stats.first()["total_documents"] == 24
+
+
+def test_two_writers_lose_no_update_and_a_failed_publish_shows_nothing(spark, store, monkeypatch):
+    add(spark, store, [("a", "first words")], "one")
+    other = Store(spark, store.root)
+    number = store._latest()
+    create, calls = Store._create, []
+
+    def slow(self, n, manifest):  # another writer publishes between reading and creating
+        if not calls:
+            calls.append(n)
+            add(spark, other, [("b", "second words")], "two")
+        return create(self, n, manifest)
+
+    monkeypatch.setattr(Store, "_create", slow)
+    add(spark, store, [("c", "third words")], "three")
+    monkeypatch.undo()
+    assert sorted(store.list_segments()) == ["one", "three", "two"] and store._latest() == number + 2
+
+    def broken(self, n, manifest):
+        raise OSError("disk")
+
+    monkeypatch.setattr(Store, "_create", broken)
+    with pytest.raises(OSError):
+        store.delete_segment("one")
+    monkeypatch.undo()
+    assert len(Store(spark, store.root).list_segments()) == 3
+    assert not store._create(number, {})  # a taken number
+    assert store.load_index().stats.first()["total_documents"] == 3
+
+
+def test_a_merge_of_segments_that_are_gone_is_an_error(spark, store):
+    for name in ("one", "two"):
+        add(spark, store, [(name, "some words")], name)
+    postings, lengths = store.read_segment("one")
+    store.delete_segment("two")
+    with pytest.raises(ValueError):
+        store.write_segment(postings, lengths, "merged", ["one", "two"])
+    with pytest.raises(ValueError):
+        store.write_segment(postings, lengths, "one")
+    assert store.list_segments() == ["one"]
+
+
+def test_vectors_that_another_writer_added_meanwhile_are_seen(spark, store, monkeypatch):
+    v = lambda i: spark.createDataFrame([(i, [1.0, 0.0])], "doc_id string, embedding array<float>")
+    commit, calls = Store._commit, []
+
+    def slow(self, change):
+        if not calls:
+            calls.append(1)
+            Store(spark, store.root).save_vectors(v("b"))
+        return commit(self, change)
+
+    monkeypatch.setattr(Store, "_commit", slow)
+    store.save_vectors(v("a"))
+    assert store.doc_exists("a") and store.doc_exists("b") and not store.doc_exists("c")
+    calls.clear()
+    with pytest.raises(ValueError):
+        store.save_vectors(v("b"))
