@@ -26,12 +26,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ from loamdex.functions.html import INLINE, Page, block_texts, fold, select
 from loamdex.runtime import counted, frequent_keys, join_bounded, materialize
 
 from .crf import Chain, Sequences
-from .hashing import signed
+from .hashing import pieces, signed
 
 #: Hashed feature space; the last id is kept for the bias.
 SIZE = 1 << 16
@@ -378,90 +378,88 @@ def as_lines(blocks: list[Block], labels: list[bool], often: list[int], rng: np.
 
 
 class Often:
-    """Frequent letter sequences of each source: number of urls and share of the source's urls."""
+    """Frequent letter sequences of some sources: number of urls and share of the source's urls; ``urls`` by a source's number."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, urls: dict[str, int]):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, urls: dict[int, int]):
         order = np.argsort(keys)
         self.keys, self.counts, self.urls = keys[order], counts[order], urls
 
-    def look(self, source: str, blocks: list[Block]) -> tuple[list[int], list[float]]:
+    def look(self, source: str, number: int, blocks: list[Block]) -> tuple[list[int], list[float]]:
         keys = [line_key(source, b.text) for b in blocks]
         if not len(self.keys):
             return [0] * len(keys), [0.0] * len(keys)
         wanted = np.array([k or 0 for k in keys], np.uint64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         hits = np.where((self.keys[at] == wanted) & (wanted != 0), self.counts[at], 0).tolist()
-        total = max(1, self.urls.get(source, 1))
+        total = max(1, self.urls.get(number, 1))
         return hits, [h / total for h in hits]
 
 
-_KEYS = T.StructType([T.StructField("source", T.LongType()), T.StructField("key", T.LongType()), T.StructField("url", T.LongType())])
+_KEYS = T.StructType([T.StructField("number", T.LongType()), T.StructField("key", T.LongType()), T.StructField("url", T.LongType())])
 
 
 def _keys(is_page: bool):
-    """The mapper from (source, url, text) to one row for each different letter sequence of a record."""
+    """The mapper from (number, source, url, text) to one row for each different letter sequence of a record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sources, keys, urls = [], [], []
-            for source, url, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for batch in pieces(batches, 3):
+            numbers, keys, urls = [], [], []
+            for number, source, url, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 blocks = block_texts(text) if is_page else text.split("\n")
                 found = {k for b in blocks if (k := line_key(source, b)) is not None}
                 keys.extend(found)
-                sources.extend([_seed(source)] * len(found))
+                numbers.extend([number] * len(found))
                 urls.extend([xxhash.xxh3_64_intdigest(url)] * len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(c, np.uint64))) for c in (sources, keys, urls)], names=_KEYS.names)
+            hashes = [pa.array(signed(np.array(c, np.uint64))) for c in (keys, urls)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *hashes], names=_KEYS.names)
 
     return run
 
 
-def count_often(pages: DataFrame, texts: DataFrame, least: int = 3, least_share: float = 0.005, limit: int = 1_000_000) -> Often:
+def count_often(pages: DataFrame, texts: DataFrame, least: int = 3, least_share: float = 0.005) -> tuple[DataFrame, DataFrame, int]:
     """Letter sequences found on ``least`` or more urls and ``least_share`` of the urls of their source.
 
-    A source has at most (lines of a record / least_share) of them, so their
-    number grows with the number of sources, not of records; more than
-    ``limit`` raise an error that asks to run groups of sources one by one,
-    which gives the same result as all counts are within a source.
+    (lines, urls, number of lines): lines is (number, key, n), urls is (number,
+    urls), where number is that of the source.  A source has at most (lines of a
+    record / least_share) of them, so their number grows with the number of
+    sources, not of records.
     """
     usable = [(p.where("source is not null and url is not null"), k) for p, k in ((pages, True), (texts, False))]
-    rows = [p.select("source", "url", "text").mapInArrow(_keys(k), _KEYS) for p, k in usable]
+    rows = [p.select("number", "source", "url", "text").mapInArrow(_keys(k), _KEYS) for p, k in usable]
     keys = materialize(rows[0].unionByName(rows[1]), "block-keys")
-    both = usable[0][0].select("source", "url").unionByName(usable[1][0].select("source", "url"))
-    urls = both.distinct().groupBy("source").count()
-    totals, n_sources = counted(urls.select("source", F.col("count").alias("urls")), "source-urls")
-    if n_sources > limit:
-        raise ValueError(f"more than {limit} sources; run groups of sources one by one")
-    per_source = {r["source"]: r["urls"] for r in totals.collect()}
-    frequent = frequent_keys(keys, "key", "url", least).select("key", "n")
-    named = keys.select("source", "key").join(frequent, "key").groupBy("key").agg(F.min("source").alias("source"), F.first("n").alias("n"))
-    known = {xxhash.xxh3_64_intdigest(s): n for s, n in per_source.items()}
-    table = named.sparkSession.createDataFrame([(int(np.uint64(h).view(np.int64)), n) for h, n in known.items()] or [(0, 1)], "source long, urls long")
-    kept = named.join(F.broadcast(table), "source").where(F.col("n") >= least_share * F.col("urls")).select("key", "n")
-    kept, rows_kept = counted(kept, "often")
-    if rows_kept > limit:
-        raise ValueError(f"more than {limit} frequent lines; run groups of sources one by one")
-    got = kept.toArrow()
-    return Often(got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy(), per_source)
+    both = usable[0][0].select("number", "url").unionByName(usable[1][0].select("number", "url"))
+    totals, n_sources = counted(both.distinct().groupBy("number").agg(F.count(F.lit(1)).alias("urls")), "source-urls")
+    frequent, n_frequent = counted(frequent_keys(keys, "key", "url", least), "frequent-lines")
+    named = join_bounded(keys.select("number", "key"), frequent, "key", n_frequent).groupBy("key").agg(F.min("number").alias("number"), F.first("n").alias("n"))
+    lines = join_bounded(named, totals, "number", n_sources).where(F.col("n") >= least_share * F.col("urls")).select("number", "key", "n")
+    return *counted(lines, "often"), totals
+
+
+def _often(lines: DataFrame, totals: DataFrame, which: Column) -> Often:
+    """The counts of the sources that a condition on their number picks, as workers hold them."""
+    got = lines.where(which).select("key", "n").toArrow()
+    urls = {r["number"]: r["urls"] for r in totals.where(which).collect()}
+    return Often(got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy(), urls)
 
 
 def _site(source: str | None) -> str:
     return re.split(r"[_\W]", source or "")[0].lower()
 
 
-def train(rows: list[tuple[str, str, list[str], list[str]]], often: Often, rounds: int = 120) -> tuple[Chain, Chain]:
-    """(page field, line field) from (source, html, main selectors, exclude selectors) of sampled pages."""
+def train(rows: list[tuple[str, int, str, list[str], list[str]]], often: Often, rounds: int = 120) -> tuple[Chain, Chain]:
+    """(page field, line field) from (source, its number, html, main selectors, exclude selectors) of sampled pages."""
     features, places, rng = Features(), Places(), np.random.default_rng(3)
     page_items, page_truth, line_items, line_truth = Records(), [], Records(), []
-    for source, html, selectors, exclude in rows:
+    for source, number, html, selectors, exclude in rows:
         blocks, title, page = page_blocks(html, places)
-        hits, share = often.look(source, blocks)
+        hits, share = often.look(source, number, blocks)
         labels = label_page(blocks, page, selectors, exclude, hits)
         if labels is None:
             continue
         features.record(page_items, blocks, [fold(b.text) for b in blocks], title, hits, share, _site(source))
         page_truth += labels
         lines, truth = as_lines(blocks, labels, hits, rng)
-        hits, share = often.look(source, lines)
+        hits, share = often.look(source, number, lines)
         features.record(line_items, lines, [b.text for b in lines], title if rng.random() < 0.9 else "", hits, share, _site(source))
         line_truth += truth
     chains = Chain(SIZE), Chain(SIZE)
@@ -475,27 +473,27 @@ _OUT = T.StructType([T.StructField("rec_kind", T.StringType()), T.StructField("r
 
 
 def _extract(kind: str, chain: Chain, often: Often):
-    """The mapper from (rec_id, source, title, text) to the blocks of the article."""
+    """The mapper from (rec_id, source, number, title, text) to the blocks of the article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, places = Features(), Places()
-        for batch in batches:
+        for batch in pieces(batches, 4):
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                items, owners, texts, numbers = Records(), [], [], []
-                for rec, source, title, text in zip(*(piece.column(i).to_pylist() for i in range(4))):
+                items, owners, texts, places_in = Records(), [], [], []
+                for rec, source, number, title, text in zip(*(piece.column(i).to_pylist() for i in range(5))):
                     if kind == "page":
                         blocks, title, _ = page_blocks(text, places)
                     else:
                         blocks, title = line_blocks(text), fold(title or "")
                     if not blocks:
                         continue
-                    hits, share = often.look(source, blocks) if source is not None else ([0] * len(blocks), [0.0] * len(blocks))
+                    hits, share = often.look(source, number, blocks) if source is not None else ([0] * len(blocks), [0.0] * len(blocks))
                     folded = [fold(b.text) for b in blocks]
                     features.record(items, blocks, folded, title, hits, share, _site(source))
                     owners += [rec] * len(blocks)
                     texts += folded
-                    numbers += range(len(blocks))
+                    places_in += range(len(blocks))
                 if not owners:
                     continue
                 keep = np.flatnonzero(chain.decode(items.stacked()))
@@ -504,7 +502,7 @@ def _extract(kind: str, chain: Chain, often: Often):
                         [
                             pa.array([kind] * len(keep)),
                             pa.array([owners[i] for i in keep], pa.int64()),
-                            pa.array([numbers[i] for i in keep], pa.int32()),
+                            pa.array([places_in[i] for i in keep], pa.int32()),
                             pa.array([texts[i] for i in keep]),
                         ],
                         names=_OUT.names,
@@ -513,13 +511,15 @@ def _extract(kind: str, chain: Chain, often: Often):
     return run
 
 
-def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 120) -> DataFrame:
+def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample: int = 600, rounds: int = 120, limit: int = 1_000_000) -> DataFrame:
     """(rec_kind, rec_id, block_no, text): the article's blocks of all pages and scraped texts, in order.
 
     ``pages`` has page_id, source_id, url, html, status_code, ``scraped`` has
     scraped_id, source_id, url, title, content, ``sources`` the scraper
     selectors by source_id.  ``sample`` bounds the labelled pages that train
-    the fields; they are chosen by a hash of page_id.
+    the fields; they are chosen by a hash of page_id.  Workers hold about
+    ``limit`` frequent lines at a time: if there are more, the sources are
+    decoded in groups, with the same result, as counts are within a source.
 
     Pages with a status other than 200, and null, empty and blank records, have
     no blocks.  A record without source or url is decoded without counts.
@@ -529,20 +529,28 @@ def main_blocks(pages: DataFrame, scraped: DataFrame, sources: DataFrame, sample
     are ignored.
     """
     ok = pages.where((F.col("status_code") == 200) & (F.length(F.trim("html")) > 0))
-    p = ok.select(F.col("page_id").cast("long").alias("rec_id"), F.col("source_id").alias("source"), "url", F.lit(None).cast("string").alias("title"), F.col("html").alias("text"))
+    number = F.xxhash64("source_id").alias("number")
+    p = ok.select(F.col("page_id").cast("long").alias("rec_id"), F.col("source_id").alias("source"), number, "url", F.lit(None).cast("string").alias("title"), F.col("html").alias("text"))
     s = scraped.where(F.length(F.trim("content")) > 0).select(
-        F.col("scraped_id").cast("long").alias("rec_id"), F.col("source_id").alias("source"), "url", "title", F.col("content").alias("text")
+        F.col("scraped_id").cast("long").alias("rec_id"), F.col("source_id").alias("source"), number, "url", "title", F.col("content").alias("text")
     )
-    often = count_often(p, s)
+    lines, n_lines, totals = count_often(p, s)
     rules = sources.select(F.col("source_id").alias("source"), "scraper.main_content_selectors", "scraper.exclude_selectors").dropDuplicates(["source"])
     rules, n_rules = counted(rules, "rules")
     # thin out by hash before the top-k, so that no partition sends more than its share of the sample
     share = F.pmod(F.xxhash64("rec_id"), F.lit(1 << 30)) < int(min(1.0, 1.5 * sample / max(1, ok.count())) * (1 << 30))
-    drawn = p.where(share).select("source", "url", "text", "rec_id").transform(lambda x: join_bounded(x, rules, "source", n_rules))
+    drawn = p.where(share).select("source", "number", "url", "text", "rec_id").transform(lambda x: join_bounded(x, rules, "source", n_rules))
     drawn = drawn.orderBy(F.xxhash64("rec_id"), "rec_id").limit(sample).toArrow().to_pylist()
-    chains = train([(r["source"], r["text"], r["main_content_selectors"] or [], r["exclude_selectors"] or []) for r in drawn], often, rounds)
-    out = [d.select("rec_id", "source", "title", "text").mapInArrow(_extract(kind, c, often), _OUT) for d, kind, c in ((p, "page", chains[0]), (s, "scraped", chains[1]))]
-    return out[0].unionByName(out[1])
+    known = _often(lines, totals, F.col("number").isin(sorted({r["number"] for r in drawn})))  # of ``sample`` sources at most
+    chains = train([(r["source"], r["number"], r["text"], r["main_content_selectors"] or [], r["exclude_selectors"] or []) for r in drawn], known, rounds)
+    groups = max(1, -(-n_lines // limit))
+    out = []
+    for g in range(groups):
+        mine = F.pmod("number", F.lit(groups)) == g
+        often = _often(lines, totals, mine)
+        for d, kind, c in ((p, "page", chains[0]), (s, "scraped", chains[1])):
+            out.append(d.where(mine).select("rec_id", "source", "number", "title", "text").mapInArrow(_extract(kind, c, often), _OUT))
+    return reduce(DataFrame.unionByName, out)
 
 
 def block_shas(blocks: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .hashing import WordHashes, flat_words, mix, pieces, words_of
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
 
-#: Items up to which the set is held by every worker.
+#: Items that workers hold at a time; more are looked for in blocks, each with a scan of its own.
 MOST_ITEMS = 100_000
 
 
@@ -229,14 +230,22 @@ def leaks(
     Null, empty and wordless texts hold nothing, and wordless items are in
     nothing.  An item stored under two ids leaks under both, a text stored
     under two ids holds the same items under both; a passage that occurs
-    repeatedly gives one row.  Other columns are ignored.  The items must be
-    few (at most ``MOST_ITEMS``, else an error): they are the query set.
+    repeatedly gives one row.  Other columns are ignored.  The items are the
+    query set: the corpus is scanned once for each ``MOST_ITEMS`` of them.
     """
-    rows = items.select(F.col(item_col).cast("long"), F.col(item_text_col)).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items; split them into blocks")
     tables = tables or (1 if edits == 0 else 12 * edits)
-    held = [(r[0], r[1]) for r in rows if r[0] is not None]
+    asked = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null")
+    blocks = max(1, -(-asked.count() // MOST_ITEMS))
+    scanned = corpus.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    parts = []
+    for block in range(blocks):
+        held = [(r[0], r[1]) for r in (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)).collect()]
+        parts.append(scanned.mapInArrow(_scan(held, passage, samples, tables, edits), _OUT))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+
+
+def _scan(held: list[tuple[int, str | None]], passage: int, samples: int, tables: int, edits: int):
+    """The mapper from (doc_id, text) to what each text holds of the given items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, cache = ItemIndex(held, passage, samples, tables, edits), WordHashes()
@@ -265,5 +274,4 @@ def leaks(
                     names=["doc_id", "item_id", "edits"],
                 )
 
-    scanned = corpus.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return scanned.mapInArrow(run, _OUT).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return run

@@ -60,6 +60,11 @@ def test_article_is_kept_and_furniture_is_not(spark):
     assert got["scraped", 1] == lines.split("\n")[2:5]
 
 
+def test_groups_of_sources_give_the_same(spark):
+    whole = {tuple(r) for r in main_blocks(*tables(spark), sample=60).collect()}
+    assert whole and {tuple(r) for r in main_blocks(*tables(spark), sample=60, limit=2).collect()} == whole
+
+
 def test_hashes_are_one_row_each(spark):
     import hashlib
 
