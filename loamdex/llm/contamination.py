@@ -17,8 +17,9 @@ window is also indexed without its first 1 .. ``edits`` words, with as many
 edits fewer left for the rest.  At the end of a text windows may be shorter by
 the number of edits.
 
-A hit is verified on the words themselves by edit distance; with ``edits`` = 0
-that is equality of the words.
+A hit is compared by the hashes of its words first, from both ends towards the
+edit, and then verified on the words themselves by edit distance; with
+``edits`` = 0 that is equality of the words.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import WordHashes, flat_words, mix, pieces, words_of
+from .hashing import WordHashes, flat_words, mix, pieces, ramp, words_of
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
 
@@ -121,13 +122,15 @@ LEAST_EDITED = 4
 
 @dataclass(frozen=True)
 class Part:
-    """The windows of one length without their first ``cut`` words, of which ``edits`` may be edited."""
+    """The windows of one length without their first ``cut`` words, of which ``edits`` may be edited; ``least`` edits at least are found by it."""
 
     length: int
     cut: int
     edits: int
+    least: int
     samples: int
     windows: list[tuple[int, int]]
+    words: np.ndarray
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     firsts: np.ndarray
 
@@ -145,8 +148,9 @@ class ItemIndex:
         self.parts: list[Part] = []
         for whole, windows in sorted(by_length.items()):
             most = min(edits, whole - 1) if whole == passage or whole >= LEAST_EDITED else 0
-            for cut in range(most + 1):
-                length, left = whole - cut, most - cut
+            # what is held as it is comes first: then nothing better is left to be found for it
+            for cut, left in [(0, 0), *((cut, most - cut) for cut in range(most + 1) if most)]:
+                length = whole - cut
                 flat, starts = [], []
                 for item, k in windows:
                     starts.append(len(flat))
@@ -158,7 +162,9 @@ class ItemIndex:
                 for keys in _keys(hashes, first, length, drawn, tables if left else 1):
                     order = np.argsort(keys, kind="stable")
                     found.append((keys[order], order, _bitmap(keys)))
-                self.parts.append(Part(length, cut, left, drawn, windows, found, np.unique(hashes[first])))
+                least = max(1, cut) if left or cut else 0
+                self.parts.append(Part(length, cut, left, least, drawn, windows, hashes.reshape(-1, length), found, np.unique(hashes[first])))
+        self.parts.sort(key=lambda part: part.least)
         self.firsts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(part.firsts for part in self.parts)]))
 
     def begins(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,24 +172,42 @@ class ItemIndex:
         starts = np.flatnonzero(_member(hashes, self.firsts)) if len(self.firsts) else np.zeros(0, np.int64)
         return starts, offsets[np.searchsorted(offsets, starts, "right")] if len(starts) else starts
 
-    def hits(self, hashes: np.ndarray, offsets: np.ndarray, part: Part, begins: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(text, word position, window number) where a text's window meets an item's in some repetition."""
+    def hits(self, hashes: np.ndarray, part: Part, begins: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(word positions, window numbers), each once, where the texts' windows meet the items' in some repetition."""
         starts, ends = begins
         # the first output of every walk is the window's first word
         kept = _member(hashes[starts], part.firsts) & (ends - starts >= part.length - part.edits)
         starts, sizes = starts[kept], np.minimum(part.length, (ends - starts)[kept]) if part.edits else None
-        seen = set()
+        got = [np.zeros(0, np.int64)]
         for (keys, order, bitmap), mine in zip(part.found, _keys(hashes, starts, part.length, part.samples, len(part.found), sizes)):
             near = np.flatnonzero(bitmap[(mine >> np.uint64(64 - BITS)).astype(np.int64)])
             first = np.searchsorted(keys, mine[near], "left")
-            last = np.searchsorted(keys, mine[near], "right")
-            for w, a, b in zip(near[last > first], first[last > first], last[last > first]):
-                for k in range(a, b):
-                    hit = (int(starts[w]), int(order[k]))
-                    if hit not in seen:
-                        seen.add(hit)
-                        text = int(np.searchsorted(offsets, hit[0], "right")) - 1
-                        yield text, hit[0] - int(offsets[text]), hit[1]
+            times = np.searchsorted(keys, mine[near], "right") - first
+            windows = order[np.repeat(first, times) + ramp(times)]
+            got.append(np.repeat(starts[near], times) * len(part.windows) + windows)
+        met = np.unique(np.concatenate(got))
+        return met // len(part.windows), met % len(part.windows)
+
+
+def alike(hashes: np.ndarray, ends: np.ndarray, at: np.ndarray, want: np.ndarray, edits: int) -> np.ndarray:
+    """Which of the windows that begin at ``at`` can be within ``edits`` (0 or 1) words of those wanted, by their hashes; ``ends`` are the ends of their texts."""
+    length = want.shape[1]
+    padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
+
+    def words(shift: int) -> np.ndarray:
+        place = at[:, None] + np.arange(length)[None, :] + shift
+        return padded[np.where(place < ends[:, None], place, len(hashes))]
+
+    same = words(0) == want
+    if edits == 0:
+        return same.all(1)
+    head = np.where(same.all(1), length, (~same).argmax(1))
+    out = np.zeros(len(at), bool)
+    for stretch, need in ((0, length - 1), (1, length), (-1, length - 1)):  # a word replaced, inserted or deleted
+        back = (same if stretch == 0 else words(stretch) == want)[:, ::-1]
+        tail = np.where(back.all(1), length, (~back).argmax(1))
+        out |= head + tail >= need
+    return out
 
 
 #: Leading bits of a key that a first look at a table compares.
@@ -256,10 +280,19 @@ def _scan(held: list[tuple[int, str | None]], passage: int, samples: int, tables
             split: dict[int, list[str]] = {}
             begins = index.begins(hashes, offsets)
             for part in index.parts:
-                for text, at, number in index.hits(hashes, offsets, part, begins):
+                places, numbers = index.hits(hashes, part, begins)
+                owner = np.searchsorted(offsets, places, "right") - 1
+                if part.edits <= 1:  # most of what meets by chance goes here
+                    kept = [np.zeros(0, np.int64)]
+                    for at in range(0, len(places), 50_000):
+                        some = slice(at, at + 50_000)
+                        kept.append(at + np.flatnonzero(alike(hashes, offsets[owner[some] + 1], places[some], part.words[numbers[some]], part.edits)))
+                    kept = np.concatenate(kept)
+                    places, numbers, owner = places[kept], numbers[kept], owner[kept]
+                for text, at, number in zip(owner.tolist(), (places - offsets[owner]).tolist(), numbers.tolist()):
                     item, k = part.windows[number]
                     pair = (text, item)
-                    if best.get(pair, edits + 1) <= part.cut:
+                    if best.get(pair, edits + 1) <= part.least:
                         continue
                     if text not in split:
                         split[text] = words_of(texts[text])
