@@ -4,7 +4,8 @@ An item over ``max_words`` words or ``max_chars`` characters is cut into the
 smallest number of pieces that can hold it.  Equal-length targets are placed,
 each is moved to the strongest boundary near it (paragraph, line, sentence,
 word end, then anywhere inside an overlong word), and if a piece with its
-overlap breaks a limit, one piece is added and the targets are placed anew.
+overlap breaks a limit, pieces are added and the targets are placed anew; the
+number of pieces is the smallest for which one less does not fit.
 
 An item is handled by one task, whole; its cost is linear in its length.
 """
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import pieces
+
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$|[。！？；][」』”’）]*$")
 _INNER = re.compile(r"[^。！？；]+[。！？；」』”’）]*|[。！？；」』”’）]+")
@@ -86,15 +89,23 @@ def split_text(text: str, max_words: int = 256, max_chars: int = 2048, overlap:
     if _fits(units, 0, n, max_words, max_chars):
         return [(units.start[0], units.start[0], units.end[-1])]
     length = units.end[-1] - units.start[0]
-    pieces = max(2, -(-(n - overlap) // max(1, max_words - overlap)), -(-length // max_chars))
-    while pieces < n:
-        cuts = _place(units, pieces, length, reach)
-        got = _check(units, cuts, max_words, max_chars, overlap)
-        if got is not None:
-            return got
-        # the count grows by a step in proportion, so that long items take few rounds
-        pieces += max(1, pieces // 16)
-    return _greedy(units, max_words, max_chars, overlap)
+    least = max(2, -(-(n - overlap) // max(1, max_words - overlap)), -(-length // max_chars))
+    attempt = lambda pieces: _check(units, _place(units, pieces, length, reach), max_words, max_chars, overlap)
+    # counts are tried upwards in growing steps; then the last step is halved down to the first count that fits
+    below, pieces, step, got = least - 1, least, 1, None
+    while pieces < n and (got := attempt(pieces)) is None:
+        below, pieces, step = pieces, pieces + step, 2 * step
+    if got is None and below < n - 1:  # the last step went beyond all counts
+        pieces, got = n - 1, attempt(n - 1)
+    if got is None:
+        return _greedy(units, max_words, max_chars, overlap)
+    while pieces - below > 1:
+        middle = (below + pieces) // 2
+        if (better := attempt(middle)) is None:
+            below = middle
+        else:
+            pieces, got = middle, better
+    return got
 
 
 def _place(units: Units, pieces: int, length: int, reach: float) -> list[int]:
@@ -183,7 +194,7 @@ def oversized_pieces(
         raise ValueError("a piece must hold eight characters or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows: list[tuple] = []
             for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 over = len(text) > max_chars or (len(text) > 2 * max_words and len(text.split()) > max_words)

@@ -88,3 +88,17 @@ def test_items_are_those_over_a_limit(spark, tiny):
     for key in want:
         mine = sorted((r["piece_no"], r["start"], r["new_start"], r["stop"]) for r in got if (r["rec_kind"], r["rec_id"]) == key)
         check(texts[key], [m[1:] for m in mine], 256, 2048, 32)
+
+
+def test_one_piece_less_does_not_fit():
+    import random
+
+    from loamdex.llm.splitting import Units, _check, _place, split_text
+
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["w" * rng.randrange(1, 30), "w" * rng.randrange(1, 9)]) + rng.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for _ in range(rng.randrange(100, 900)))
+        got = split_text(text, 40, 300, 8)
+        units = Units(text, 75)
+        length = units.end[-1] - units.start[0]
+        assert len(got) > 2 and _check(units, _place(units, len(got) - 1, length, 0.25), 40, 300, 8) is None or len(got) <= max(2, -(-length // 300), -(-(len(units.start) - 8) // 32))
