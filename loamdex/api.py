@@ -61,9 +61,9 @@ class Engine:
         return relational.enrich(hits, self.store.chunks())
 
     def search_vector(self, queries: str | list[str] | DataFrame, top_k: int = 10) -> DataFrame:
-        """Dense hits with their chunks."""
+        """Dense hits with their chunks; approximate once :meth:`rebuild_vectors` has stored lists."""
         asked = dense.encode(self._queries(queries), "query", self.load_encoder, self.settings.dimension, "query_vector")
-        hits = dense.exact_top_k(self.store.vectors(), asked.select("query_id", "query_vector"), _between("top_k", top_k, 1, 100))
+        hits = self.store.search_vectors(asked.select("query_id", "query_vector"), _between("top_k", top_k, 1, 100))
         return relational.enrich(hits, self.store.chunks())
 
     def ask(self, queries: str | list[str] | DataFrame) -> DataFrame:
@@ -91,6 +91,10 @@ class Engine:
         rows = self.store.spark.createDataFrame([(doc_id, text)], "doc_id string, text string")
         self.store.save_vectors(dense.encode(rows, "text", self.load_encoder, self.settings.dimension).select("doc_id", "embedding"))
 
+    def rebuild_vectors(self, lists: int = 64) -> str:
+        """Fit and store the lists of the dense index anew; its name."""
+        return self.store.index_vectors(_between("lists", lists, 1, 65_536))
+
     def merge(self) -> list[str]:
         """Merge segments beyond the limit; names of the new ones."""
         return self.store.merge_segments(self.settings.max_segments)

@@ -255,3 +255,11 @@ def select(page: Page, selector: str) -> list[int]:
     """Elements that a selector matches, in document order."""
     alternatives = compile_selector(selector)
     return [e for e in range(1, len(page.tags)) if any(_matches(page, e, steps) for steps in alternatives)]
+
+
+def select_known(page: Page, selector: str) -> list[int]:
+    """As :func:`select`; a selector that is not understood fits nothing, so that one bad rule does not end a job over all pages."""
+    try:
+        return select(page, selector)
+    except ValueError:
+        return []

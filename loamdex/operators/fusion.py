@@ -48,7 +48,7 @@ def require_text(queries: DataFrame, column: str = "query") -> DataFrame:
 
 def hybrid_search(
     index: lexical.Index,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     queries: DataFrame,
     k: int = 10,
     fetch_k: int = 50,
@@ -58,11 +58,13 @@ def hybrid_search(
     stem: bool = True,
     digits: int | None = None,
     n_queries: int | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Fused top k of the lexical and the dense ranking; queries: (query_id, query, query_vector).
 
-    A query without usable tokens is ranked by its vector alone.
+    A query without usable tokens is ranked by its vector alone.  ``near`` is
+    the dense ranking if there is one already, as of an approximate search.
     """
     words = lexical.search(index, queries.select("query_id", "query"), fetch_k, stem=stem, digits=digits)
-    near = dense.exact_top_k(vectors, queries.select("query_id", "query_vector"), fetch_k, digits=digits, n_queries=n_queries)
+    near = near if near is not None else dense.exact_top_k(vectors, queries.select("query_id", "query_vector"), fetch_k, digits=digits, n_queries=n_queries)
     return fuse(ranked_lists([words, near]), rrf_k, [bm25_weight, vector_weight], 2, k)

@@ -111,8 +111,9 @@ def search_store(store: Store, queries: DataFrame, load_encoder: Callable, k: in
     """Hybrid hits of (query_id, query) over a store, with their chunks; blank queries are an error."""
     settings = (settings or Settings()).check()
     asked = dense.encode(fusion.require_text(queries), "query", load_encoder, settings.dimension, "query_vector")
+    near = store.search_vectors(asked.select("query_id", "query_vector"), settings.fetch_k)
     hits = fusion.hybrid_search(
-        store.load_index(), store.vectors(), asked, k, settings.fetch_k, settings.rrf_k, settings.bm25_weight, settings.vector_weight
+        store.load_index(), None, asked, k, settings.fetch_k, settings.rrf_k, settings.bm25_weight, settings.vector_weight, near=near
     )
     return relational.enrich(hits, store.chunks())
 

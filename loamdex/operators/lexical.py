@@ -49,7 +49,9 @@ def term_counts(tokens_df: DataFrame, stem: bool = False) -> DataFrame:
     if not stem:
         return counts
     kept = materialize(counts, "raw-counts")
-    stems, n = counted(kept.select("term").distinct().withColumn("stem", F.element_at(stemmed(F.array("term")), 1)), "stems")
+    # a stated number of partitions, since few bytes of terms are much work and would be put into one
+    parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stems, n = counted(kept.select("term").distinct().repartition(parts).withColumn("stem", F.element_at(stemmed(F.array("term")), 1)), "stems")
     return join_bounded(kept, stems, "term", n).groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").cast("int").alias("tf"))
 
 

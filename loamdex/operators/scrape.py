@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions.html import Page, select
+from loamdex.functions.html import Page, select_known as select
 from loamdex.runtime import join_bounded
 from loamdex.schemas import SCRAPED
 

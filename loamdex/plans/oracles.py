@@ -125,6 +125,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT w.doc_id AS query_id, v.doc_id, {_PRODUCT} AS score FROM u v, u w WHERE w.doc_id % 100 = 0), {_ranked('hits', 's', 11)} SELECT * FROM hits""",
     "dense_cosine": f"""WITH {_VECS}, u AS (SELECT doc_id, id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM vecs),
         s AS (SELECT w.id AS query_id, v.doc_id, {_PRODUCT} AS score FROM u v, u w WHERE w.id % 100 = 0), {_ranked('hits', 's', 10)} SELECT * FROM hits""",
+    "vector_index_stored": "SELECT true AS nine_in_ten",
     "ivf_recall": "SELECT true AS nine_in_ten",
     "vector_positions": "SELECT row_number() OVER (ORDER BY id) - 1 AS position, id AS doc_id FROM vector_documents",
     "rrf_two_lists": _two_lists((1.0, 1.0)),

@@ -290,6 +290,20 @@ def encoded_chunks(spark: SparkSession, d: str) -> DataFrame:
     return dense.encode(rows.select("chunk_id", "text"), "text", dense.hashing_encoder(64), 64).select("chunk_id", "embedding")
 
 
+@query
+def vector_index_stored(spark: SparkSession, d: str) -> DataFrame:
+    """V4, V5, V7, K5: whether a stored index, half of whose vectors came after its lists, finds nine in ten of dense_cosine."""
+    v, queries = _unit_vectors(spark, d)
+    store = _fresh_store(spark)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    store.save_vectors(v.where(half == 0).select("doc_id", F.col("embedding").cast("array<float>").alias("embedding")))
+    store.index_vectors(32)
+    store.save_vectors(v.where(half == 1).select("doc_id", F.col("embedding").cast("array<float>").alias("embedding")))
+    got = store.search_vectors(queries, 10, 8).select("query_id", "doc_id", F.lit(1).alias("found"))
+    both = got.join(dense_cosine(spark, d).select("query_id", "doc_id"), ["query_id", "doc_id"], "right")
+    return both.agg((F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"))
+
+
 # fusion ------------------------------------------------------------------
 def _two_lists(spark: SparkSession, d: str) -> list[DataFrame]:
     items = _items(spark, d)
@@ -547,7 +561,7 @@ def rag_answers(spark: SparkSession, d: str) -> DataFrame:
 
 # pipelines ---------------------------------------------------------------
 def _fresh_store(spark: SparkSession) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/loamdex/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_dir(spark)}/loamdex-stores/{uuid.uuid4().hex}")
 
 
 @query
@@ -563,7 +577,7 @@ def ingest_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """Documents streamed into a store until drained; its statistics."""
-    store, at = _fresh_store(spark), f"{shared_dir(spark)}/loamdex/stream-{uuid.uuid4().hex}"
+    store, at = _fresh_store(spark), f"{shared_dir(spark)}/loamdex-stores/stream-{uuid.uuid4().hex}"
     docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     docs.repartition(4).write.parquet(f"{at}/in")
     stream = index_stream.read_stream(spark, f"{at}/in", docs.schema, 2)

@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,16 +100,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     column by column; unlike ``localCheckpoint`` it survives a lost executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loamdex/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loamdex/{''.join(f'{name}/' for name in _SCRATCH)}{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` writes inside are deleted at the end; results have to be written or collected before."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(name)
+    try:
+        yield
+    finally:
+        at = "".join(f"{s}/" for s in _SCRATCH)
+        _SCRATCH.pop()
+        _delete(spark, f"{shared_dir(spark)}/loamdex/{at}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete all tables that :func:`materialize` left in the shared folder; results that were not computed before fail then."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/loamdex")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/loamdex")
 
 
 def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:

@@ -17,11 +17,12 @@ import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex import schemas
-from loamdex.operators import lexical, relational, segments
+from loamdex.operators import dense, lexical, relational, segments
 
 TABLES = {"postings": schemas.POSTING, "lengths": schemas.DOC_LENGTH, "chunks": schemas.CHUNK, "vectors": schemas.VECTOR}
 
@@ -219,6 +220,35 @@ class Store:
 
         self._append("vectors", make, name or segments.segment_name())
 
+    def index_vectors(self, lists: int = 64) -> str:
+        """Fit inverted lists and store all vectors by list; the name of the index, which replaces the one before."""
+        batches, name = self.manifest()["batches"]["vectors"], segments.segment_name()
+        held = self._read("vectors", batches).select("doc_id", "embedding")
+        made = dense.InvertedLists.fit(held, lists)
+        made.index(held, f"{self.root}/lists/{name}")
+        rows = [(i, c.tolist()) for i, c in enumerate(made.centroids)]  # one row for each list
+        self.spark.createDataFrame(rows, "list_id int, centroid array<float>").coalesce(1).write.parquet(f"{self.root}/centroids/{name}")
+        self._commit(lambda m: m | {"lists": {"name": name, "batches": batches}})
+        return name
+
+    def search_vectors(self, queries: DataFrame, k: int = 10, probes: int = 8, digits: int | None = None) -> DataFrame:
+        """The k vectors with the largest inner product for each (query_id, query_vector): (query_id, doc_id, score, rank).
+
+        Vectors that are in the stored lists are searched there; those that came
+        later, or all if there are no lists, are compared exactly.
+        """
+        manifest = self.manifest()
+        lists, batches = manifest.get("lists"), manifest["batches"]["vectors"]
+        late = [b for b in batches if lists is None or b not in lists["batches"]]
+        parts = []
+        if lists is not None:
+            rows = self.spark.read.parquet(f"{self.root}/centroids/{lists['name']}").orderBy("list_id").collect()
+            made = dense.InvertedLists(np.array([r["centroid"] for r in rows], np.float32))
+            parts.append(made.search(self.spark.read.parquet(f"{self.root}/lists/{lists['name']}"), queries, k, probes, digits))
+        if late or lists is None:
+            parts.append(dense.exact_top_k(self._read("vectors", late), queries, k, digits))
+        return parts[0] if len(parts) == 1 else lexical.top_k(parts[0].unionByName(parts[1]), k)
+
     def doc_exists(self, doc_id: str) -> bool:
         """Whether a vector of that id is stored."""
         return not self.vectors().where(F.col("doc_id") == doc_id).limit(1).isEmpty()

@@ -62,3 +62,16 @@ def test_blank_and_computed_once(spark):
     assert df.where(runtime.blank(F.col("t"))).count() == 3
     once = runtime.computed_once(df, "n", F.length("t")).where("n > 0")
     assert once.columns == ["t", "n"] and once.count() == 2
+
+
+def test_scratch_tables_are_deleted(spark):
+    from loamdex.runtime import materialize, scratch, shared_dir
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        inside = materialize(spark.range(5), "inside")
+        assert inside.count() == 5
+        path = inside.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path) and kept.count() == 3 and shared_dir(spark)

@@ -277,3 +277,22 @@ def test_vectors_that_another_writer_added_meanwhile_are_seen(spark, store, monk
     calls.clear()
     with pytest.raises(ValueError):
         store.save_vectors(v("b"))
+
+
+def test_stored_lists_and_later_vectors_are_searched_together(spark, store):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(10, 16))[np.arange(300) % 10] + 0.3 * rng.normal(size=(300, 16))
+    rows = [(f"v{i:03d}", (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    q = df.where("doc_id < 'v020'").select(F.substring("doc_id", 2, 3).cast("long").alias("query_id"), F.col("embedding").alias("query_vector"))
+    store.save_vectors(df.where("doc_id < 'v200'"))
+    store.index_vectors(8)
+    store.save_vectors(df.where("doc_id >= 'v200'"))
+    want = {tuple(r)[:2] for r in dense.exact_top_k(df, q, 10).collect()}
+    got = store.search_vectors(q, 10, 4).collect()
+    assert len(got) == 200 and len({tuple(r)[:2] for r in got} & want) >= 180
+    assert any(d < "v200" for _, d in want) and any(r["doc_id"] >= "v200" for r in got)
+    store.index_vectors(8)
+    assert len({tuple(r)[:2] for r in store.search_vectors(q, 10, 4).collect()} & want) >= 180
