@@ -159,13 +159,15 @@ _CLAUSE = re.compile(r"[^\x00-\x1f!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~]+")
 SHARES = (1, 2, 3)
 
 
-def forms_of(text: str) -> set[tuple[int, str, int]]:
+def forms_of(text: str, units: set[str] | None = None) -> set[tuple[int, str, int]]:
     """(key, form, share) of a text's words and clauses; ``share`` is what a clause's lengths were divided by."""
     out = set()
-    for unit in _UNIT.findall(text):
+    for unit in units if units is not None else set(_UNIT.findall(text)):
         if sum(map(str.isascii, unit)) > 1:
             out.add((_key("w" + _RUN.sub("\0", unit)), unit, 1))
-    for clause in _CLAUSE.findall(text):
+    for clause in set(_CLAUSE.findall(text)):
+        if clause.isascii():
+            continue
         sizes = [len(r) for r in _RUN.findall(clause)]
         if len(sizes) > 2:
             for share in SHARES:
@@ -219,8 +221,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once = np.unique(owner[pairs] * CELLS + cell(codes[pairs], codes[pairs + 1]))
             cells += np.bincount(once % CELLS, minlength=CELLS)
         for text in texts:
-            forms.update(forms_of(text))
-            units.update(set(_UNIT.findall(text)))
+            mine = set(_UNIT.findall(text))
+            forms.update(forms_of(text, mine))
+            units.update(mine)
         if len(forms) + len(units) > 200_000:
             yield from flush()
     yield from flush()
@@ -426,10 +429,9 @@ class Reader:
 
     def _parts(self, before: str, run: str, after: str, reader: str) -> tuple[str, float]:
         """The run with its valid UTF-8 sequences restored, except those that stand alone in quotation marks."""
-        data = bytearray()
-        for c in run:
-            b = write(c, reader)
-            data += b if b is not None and len(b) == 1 else b"?"
+        data = write(run, reader)
+        if data is None or len(data) != len(run):  # some characters are not the reader's
+            data = b"".join(b if (b := write(c, reader)) is not None and len(b) == 1 else b"?" for c in run)
         out, last, won = "", 0, 0.0
         for m in _UTF8.finditer(bytes(data)):
             original = read(m.group(), "utf-8")
