@@ -19,9 +19,10 @@ of them.  Of these every query visits the ``probes`` lists nearest to itself.
 Its distances come from asymmetric distance tables (query part against
 codebook), laid out by code so that a code adds one contiguous row for a whole
 block of queries.  A query
-keeps what may still be among its k best: candidates within a margin of its
-k-th, four standard deviations of the tables' error as seen on the sample, and
-``rerank`` at most.
+keeps what may still be among its k best, if scores are wrong by up to two
+standard deviations of the tables' error as seen on the sample, and ``rerank``
+at most.  Residuals are coded by the size usual in their list, so that a crowded
+place is resolved as finely as a wide one.
 
 *Rerank.*  The full vectors of a unit's queries and distinct candidates are
 joined once a unit and compared exactly.
@@ -87,11 +88,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Tops, centroids of all lists in order of their top, residual codebooks (parts, codes, width), each list's nearest lists, and the tables' error."""
+    """Tops, centroids and residual sizes of all lists in order of their top, codebooks of residuals of size one (parts, codes, width), each list's nearest lists, and the tables' error at size one."""
 
     tops: np.ndarray
     first: np.ndarray
     centres: np.ndarray
+    scale: np.ndarray
     books: np.ndarray
     probes: np.ndarray
     error: float = 0.0
@@ -111,15 +113,26 @@ class Index:
             mine = x[near == t]
             # a top's share of the lists goes by its share of the sample
             below.append(_kmeans(mine, max(1, min(len(mine), round(lists * len(mine) / len(x)))), 4, rng) if len(mine) else tops[t : t + 1])
-        out = cls(tops, np.concatenate([[0], np.cumsum([len(b) for b in below])]), np.concatenate(below), np.zeros((parts, 1, x.shape[1] // parts), np.float32), np.zeros((0, 0)))
+        out = cls(tops, np.concatenate([[0], np.cumsum([len(b) for b in below])]), np.concatenate(below), np.zeros(0, np.float32), np.zeros((parts, 1, x.shape[1] // parts), np.float32), np.zeros((0, 0)))
         home = out.home(x)
-        rest = (x - out.centres[home]).reshape(len(x), parts, -1)
+        rest = x - out.centres[home]
+        out.scale = out._scale(rest, home)
+        rest = (rest / out.scale[home, None]).reshape(len(x), parts, -1)
         taken = rest if len(rest) <= book_sample else rest[rng.choice(len(rest), book_sample, replace=False)]
         out.books = np.stack([_kmeans(np.ascontiguousarray(taken[:, p]), min(256, len(taken)), 5, rng) for p in range(parts)])
         out.probes = out._probes(min(probes, len(out.centres)))
         out.error = out._error(x, home, rng)
         return out
 
+    def _scale(self, rest: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Root mean square of the residuals of each list, as if it held four more of the size usual in its top."""
+        lists = len(self.centres)
+        top = np.repeat(np.arange(len(self.tops)), np.diff(self.first))
+        square, n = np.bincount(home, (rest * rest).sum(1), lists), np.bincount(home, minlength=lists)
+        usual = np.bincount(top, square) / np.maximum(1, np.bincount(top, n))
+        usual = np.where(usual > 0, usual, max(square.sum() / max(1, n.sum()), 1e-12))
+        return np.sqrt((square + 4 * usual[top]) / (n + 4)).astype(np.float32)
+
     def _probes(self, count: int) -> np.ndarray:
         """The nearest lists of each list, from the tops that are nearest to it and hold enough lists."""
         sizes, out = np.diff(self.first), np.empty((len(self.centres), count), np.int32)
@@ -145,8 +158,12 @@ class Index:
             same = rng.choice(same, 4096, replace=False)
         a, b = x[left[same]], x[right[same]]
         where, codes = self.encode(b)
-        made = self.centres[where] + np.stack([self.books[p][codes[:, p]] for p in range(len(self.books))], axis=1).reshape(len(b), -1)
-        return float(((made - b) * a).sum(1).std())
+        return float((((self.decode(where, codes) - b) * a).sum(1) / self.scale[where]).std())
+
+    def decode(self, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        rest = np.stack([self.books[p][codes[:, p]] for p in range(len(self.books))], axis=1).reshape(len(codes), -1)
+        return self.centres[home] + self.scale[home, None] * rest
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """The nearest list of each vector, looked for in its nearest tops."""
@@ -175,7 +192,7 @@ class Index:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of each vector."""
         home = self.home(x)
-        rest = (x - self.centres[home]).reshape(len(x), len(self.books), -1)
+        rest = ((x - self.centres[home]) / self.scale[home, None]).reshape(len(x), len(self.books), -1)
         return home, np.stack([_nearest(np.ascontiguousarray(rest[:, p]), b) for p, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
@@ -185,9 +202,11 @@ class Index:
 
     def scores(self, x: np.ndarray, table: np.ndarray, codes: np.ndarray, which: int) -> np.ndarray:
         """Approximate inner products of queries with the coded vectors of one list: (codes, queries)."""
-        out = np.repeat((self.centres[which] @ x.T)[None, :], len(codes), axis=0)
+        out = np.zeros((len(codes), len(x)), np.float32)
         for p in range(len(table)):
             out += table[p][codes[:, p]]
+        out *= self.scale[which]
+        out += self.centres[which] @ x.T
         return out
 
     def best(self, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, where: np.ndarray, probes: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +214,8 @@ class Index:
 
         Each query looks at the ``probes`` lists, of those given, whose
         centroids are nearest to it; ``where`` is the sorted list of each code.
+        A score may be wrong by two standard deviations either way, which are
+        those of its list.
         """
         have, starts = np.unique(where, return_index=True)
         stops = np.append(starts[1:], len(where))
@@ -202,7 +223,7 @@ class Index:
         probes = min(probes, len(have))
         asked = np.zeros(near.shape, bool)
         np.put_along_axis(asked, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
-        table, margin = self.tables(x), 4 * self.error
+        table = self.tables(x)
         top = np.full((len(x), k + 1), -np.inf, np.float32)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in np.argsort(-near.max(0), kind="stable"):
@@ -214,14 +235,15 @@ class Index:
                 score = self.scores(x, table, part, have[j])[:, mine].T
             else:
                 score = self.scores(x[mine], np.ascontiguousarray(table[:, :, mine]), part, have[j]).T
-            full = np.concatenate([top[mine], score], axis=1)
+            wrong = 2 * self.error * self.scale[have[j]]
+            full = np.concatenate([top[mine], score - wrong], axis=1)
             top[mine] = -np.partition(-full, k, axis=1)[:, : k + 1]
-            q, c = np.nonzero(score >= top[mine].min(1)[:, None] - margin)
-            got.append((mine[q], ids[starts[j] + c], score[q, c]))
+            q, c = np.nonzero(score + wrong >= top[mine].min(1)[:, None])
+            got.append((mine[q], ids[starts[j] + c], score[q, c] + wrong))
         if not got:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         q, c, score = (np.concatenate(z) for z in zip(*got))
-        kept = score >= top.min(1)[q] - margin  # the bounds rose while lists were read
+        kept = score >= top.min(1)[q]  # the bounds rose while lists were read
         q, c, score = q[kept], c[kept], score[kept]
         order = np.lexsort((-score, q))
         q, c = q[order], c[order]

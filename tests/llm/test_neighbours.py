@@ -78,10 +78,10 @@ def test_codes_approximate_inner_products():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     index = Index.fit(x, 16, 8, 4)
     home, codes = index.encode(x)
-    made = index.centres[home] + np.stack([index.books[p][codes[:, p]] for p in range(8)], axis=1).reshape(500, 16)
+    made = index.decode(home, codes)
     got = np.concatenate([index.scores(x[:20], index.tables(x[:20]), codes[i : i + 1], home[i]) for i in range(500)]).T
     assert np.allclose(got, x[:20] @ made.T, atol=1e-5)
-    assert np.abs(got - x[:20] @ x.T).mean() < 0.05 and 0 < index.error < 0.1
+    assert np.abs(got - x[:20] @ x.T).mean() < 0.05 and 0 < index.error < 0.2
 
 
 def test_each_query_keeps_its_best_codes():
@@ -91,12 +91,12 @@ def test_each_query_keeps_its_best_codes():
     home, codes = index.encode(x)
     order = np.argsort(home, kind="stable")
     q, c = index.best(x[:50], order, codes[order], home[order], 12, 10, 600)
-    made = index.centres[home] + np.stack([index.books[p][codes[:, p]] for p in range(8)], axis=1).reshape(600, 16)
-    score = x[:50] @ made.T
+    score = x[:50] @ index.decode(home, codes).T
+    wrong = 2 * index.error * index.scale[home]
     for i in range(50):
-        least = np.sort(score[i])[-11] - 4 * index.error
+        least = np.sort(score[i] - wrong)[-11]
         got = set(c[q == i].tolist())
-        assert set(np.flatnonzero(score[i] > least + 1e-4)) <= got <= set(np.flatnonzero(score[i] > least - 1e-4))
+        assert set(np.flatnonzero(score[i] + wrong > least + 1e-4)) <= got <= set(np.flatnonzero(score[i] + wrong > least - 1e-4))
 
 
 def test_lists_are_the_nearest_and_probe_themselves_first():
